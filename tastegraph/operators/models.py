@@ -117,7 +117,7 @@ def recommend_in_progress(neighbours: DataFrame, ratings: DataFrame, in_progress
 def recommend_from_items(scored: DataFrame, ratings: DataFrame, model: DataFrame, targets: DataFrame, likes: int = 20, k: int = 100) -> DataFrame:
     """Votes of each target's ``likes`` best items for their neighbours in ``model``, summed in whole billionths."""
     best = top_k(scored.join(targets.select("user_id"), "user_id", "left_semi").select("user_id", "item_id", "q"), "user_id", "q", "item_id", likes, "place")
-    votes = best.join(model.select("item_id", "similar_id", "score"), "item_id").groupBy("user_id", F.col("similar_id")).agg(F.round(F.sum(F.round(F.col("score") * 1e9).cast("long") * F.col("q")) / (SCALE * 1e9), DIGITS).alias("score"))
+    votes = best.join(model.select("item_id", "similar_id", "score"), "item_id").groupBy("user_id", F.col("similar_id")).agg((F.sum(F.round(F.col("score") * 1e9).cast("long") * F.col("q")) / (SCALE * 1e9)).alias("score"))
     new = votes.withColumnRenamed("similar_id", "item_id").join(known(ratings), ["user_id", "item_id"], "left_anti")
     return top_k(new, "user_id", "score", "item_id", k).select("user_id", "rk", "item_id", "score")
 

@@ -53,7 +53,7 @@ TAG_SQL = """tagged AS (SELECT user_id, rk, item_id, score, CASE WHEN pl AND kg
 NEAR_SQL = f"{BASE_SQL}, {COSINE_SQL}"
 RECS_SQL = f"{NEAR_SQL}, {RECOMMEND_SQL}"
 VOTES_SQL = f"""{BASE_SQL}, {COOC_SQL}, {COOC_MODEL_SQL}, {TARGETS_SQL}, best AS (SELECT * FROM (SELECT s.user_id, s.item_id, q, row_number() OVER (PARTITION BY s.user_id ORDER BY q DESC, s.item_id) AS place FROM scored s JOIN targets USING (user_id)) WHERE place<=20),
-recs AS (SELECT user_id, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rk FROM (SELECT b.user_id, m.similar_id AS item_id, round((sum(round(m.score*1e9)::BIGINT*q)::BIGINT)::DOUBLE/32e9::DOUBLE,9) AS score FROM best b JOIN cooc m USING (item_id) GROUP BY 1,2) v
+recs AS (SELECT user_id, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rk FROM (SELECT b.user_id, m.similar_id AS item_id, (sum(round(m.score*1e9)::BIGINT*q)::BIGINT)::DOUBLE/32e9::DOUBLE AS score FROM best b JOIN cooc m USING (item_id) GROUP BY 1,2) v
   WHERE NOT EXISTS (SELECT 1 FROM ratings k WHERE k.user_id=v.user_id AND k.item_id=v.item_id AND k.status<>6)) WHERE rk<=100)"""
 
 
