@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.labelled import map_rows
+
 #: Distinct white-space-free pieces that a worker remembers.
 MEMO = 700_000
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -189,7 +191,6 @@ def lowered(text: str) -> str:
 def code_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and with ``with_text`` also ``ids array<int>, decoded``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,4 +204,4 @@ def code_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
             out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
             yield out
 
-    return source.mapInPandas(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else ""))
+    return map_rows(source, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else ""))

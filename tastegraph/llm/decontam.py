@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.labelled import map_rows
 from tastegraph.plans.scratch import materialize
 
 GRAM = 3
@@ -150,7 +151,6 @@ def _seed_rows(table: ItemGrams, counts: dict[int, int]) -> list[tuple[int, int]
 
 def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
     table = ItemGrams(items)
     sent = spark.sparkContext.broadcast(table)
 
@@ -158,12 +158,10 @@ def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold:
         grams = sent.value
         for pdf in batches:
             rows = [(d, k, names, " ".join(ws)) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, names, ws in grams.passages(t)]
-            out = pd.DataFrame(rows, columns=["doc_id", "k", "grams", "words"])
-            out["doc_id"] = out["doc_id"].astype(pdf["doc_id"].dtype)
-            yield out
+            yield pd.DataFrame(rows, columns=["doc_id", "k", "grams", "words"])
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    passages = materialize(texts.mapInPandas(find, f"doc_id {kind}, k int, grams array<long>, words string"), "passages")
+    passages = materialize(map_rows(texts, find, "k int, grams array<long>, words string"), "passages")
     # One row for each gram of the slice at most, so the counts are as bounded as the slice.
     seen = passages.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").count()
     counts = {r["gram"]: r["count"] for r in seen.collect()}
@@ -184,7 +182,7 @@ def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold:
             ids = [grams.items[k][0] for k in pdf["k"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": ids, "score": result})
 
-    scored = held.select("doc_id", "k", "words").mapInPandas(score, f"doc_id {kind}, item_id long, score double")
+    scored = map_rows(held.select("doc_id", "k", "words"), score, "item_id long, score double")
     return scored.where(F.col("score") >= threshold)
 
 

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.labelled import map_rows
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
@@ -211,9 +213,11 @@ class Boosted:
         rate = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.bias = float(np.log(rate / (1 - rate)))
         z = np.full(len(y), self.bias)
+        rng = np.random.default_rng(1)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-z))
-            g, h = y - p, p * (1 - p) + 1e-6
+            half = rng.random(len(y)) < 0.5  # each tree sees half of the nodes
+            g, h = np.where(half, y - p, 0), np.where(half, p * (1 - p) + 1e-6, 0)
             at = np.zeros(len(y), np.int64)
             features, cuts = [], []
             for level in range(DEPTH):
@@ -299,6 +303,8 @@ def template_page(rng: random.Random) -> str:
     def piece() -> str:
         k = rng.random()
         inner = prose(1, rng.choice([2, 3, 8])) if chance(0.75) else words(1, 4).capitalize() + pick([".", "", "!!"])
+        if chance(0.06):
+            inner = (word() + " ") * rng.randrange(20, 200)
         if chance(0.25):
             inner = pick([f"<b>{inner}</b>", f"{inner} <a href='#'>{words(1, 3)}</a> {words(2, 9)}", f"<b>{inner}<br>", f"<span>{inner}</span>", f"{inner}<br>{inner}"])
         if k < 0.75:
@@ -382,7 +388,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
     """``page_id``, the ``keep`` columns, ``text`` and ``n_chars`` for every row."""
     model = train()
     source = pages.select(F.col(id_col).alias("page_id"), *keep, F.coalesce(F.col(html_col), F.lit("")).alias("_html"))
-    schema = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in ("page_id", *keep))
+    schema = "".join(f"`{c}` {source.schema[c].dataType.simpleString()}, " for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -393,4 +399,4 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 out["n_chars"] = out["text"].str.len().astype("int64")
                 yield out
 
-    return source.mapInPandas(run, f"{schema}, text string, n_chars long")
+    return map_rows(source, run, f"{schema}text string, n_chars long", ("page_id",))

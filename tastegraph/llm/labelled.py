@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def map_rows(source: DataFrame, run: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``source.mapInPandas`` with the id columns carried as text, so that a null among them does not turn them into floats."""
+    kinds = {c: source.schema[c].dataType for c in ids}
+    head = ", ".join(f"`{c}` string" for c in ids)
+    out = source.withColumns({c: F.col(c).cast("string") for c in ids}).mapInPandas(run, f"{head}, {schema}")
+    return out.withColumns({c: F.col(c).cast(kind) for c, kind in kinds.items()})
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the decimal doc_id, modulo ``n``; null stays null."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.labelled import crc_mod, labelled_texts, spread
+from tastegraph.llm.labelled import crc_mod, labelled_texts, map_rows, spread
 
 #: Bounds of the two training samples.
 POSITIVES = 8000
@@ -167,21 +167,15 @@ def fit_quality(docs: DataFrame, labels: DataFrame, allowed=None, positives: int
     return json.loads(row["model"]) if row else {}
 
 
-def score_quality(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
-    """The ``keep`` columns of ``docs`` (default doc_id) with ``score``."""
-    keep = keep or ["doc_id"]
-    text = "_text" if "_text" not in keep else "__text"
+def score_quality(docs: DataFrame, model: dict) -> DataFrame:
+    """``(doc_id, score)`` for every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.array([features(t) for t in pdf[text]]).reshape(-1, WIDTH)
-            out = pdf[keep].copy()
-            out["score"] = predict(model, x)
-            yield out
+            x = np.array([features(t) for t in pdf["text"]]).reshape(-1, WIDTH)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": predict(model, x)})
 
-    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias(text))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInPandas(run, f"{schema}, score double")
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,7 +190,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored below 0.5; same columns."""
     names = docs.columns
     model = fit_quality(docs, labels, crc_mod("doc_id", 3) != 1)
-    # The score column stands last, whatever the table's own columns are called.
     source = docs.select(F.struct(*names).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
 
     @F.pandas_udf("double")

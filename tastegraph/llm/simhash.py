@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastegraph.llm.labelled import map_rows
 from tastegraph.plans.components import connected_components
 from tastegraph.plans.scratch import materialize
 
@@ -73,8 +74,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fingerprints(texts).view(np.int64)})
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInPandas(run, f"doc_id {kind}, fp long")
+    return map_rows(source, run, "fp long")
 
 
 def _forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -168,10 +168,10 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Where a doc_id repeats, one of its rows is kept for a group.
     """
+    names = docs.columns
     found = materialize(near_duplicates(docs, id_col, text_col), "simhash-found")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    keep = keep.select(F.col("doc_id").alias("_kept"), F.col("count").alias("_n"))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep["_kept"]))
-    single = kept.where("_n = 1").drop("_kept", "_n")
-    again = kept.where("_n > 1").drop("_kept", "_n").dropDuplicates([id_col])
-    return single.unionByName(again)
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    packed = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"))
+    kept = packed.join(keep, packed["id"].eqNullSafe(keep["doc_id"]))
+    again = kept.where("times > 1").dropDuplicates(["id"])
+    return kept.where("times = 1").select("row.*").unionByName(again.select("row.*"))

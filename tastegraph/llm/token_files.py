@@ -34,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tastegraph.llm.bpe import byte_alphabet
+from tastegraph.llm.labelled import map_rows
 from tastegraph.plans.scratch import scratch_path
 
 END_ID = 2
@@ -170,7 +171,6 @@ def write_token_files(
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, sink, at, seq = PieceEncoder.of(tokenizer), TaskContext.get().partitionId(), None, 0, 0
@@ -190,7 +190,7 @@ def write_token_files(
             sink.close()
 
     dealt = source.repartitionByRange(spark_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = dealt.mapInPandas(run, f"part int, doc_id {kind}, seq long, at long, n_tokens long")
+    manifest = map_rows(dealt, run, "part int, seq long, at long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
@@ -225,7 +225,6 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     totals = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row for each file, so the running total is over file sizes, not documents.
     before = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    kind = manifest.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, reader = None, None
@@ -238,7 +237,7 @@ def read_digests(spark: SparkSession, folder: str) -> DataFrame:
             yield pd.DataFrame({"part": pdf["part"], "doc_id": pdf["doc_id"], "at": pdf["at"], "n_tokens": pdf["n_tokens"], "ids_crc32": crcs})
 
     # A manifest file holds one part's rows in order, so this reads each token file once.
-    read = manifest.mapInPandas(run, f"part int, doc_id {kind}, at long, n_tokens long, ids_crc32 long")
+    read = map_rows(manifest, run, "part int, at long, n_tokens long, ids_crc32 long")
     return read.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

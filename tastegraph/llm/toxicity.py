@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.labelled import crc_mod, labelled_texts
+from tastegraph.llm.labelled import crc_mod, labelled_texts, map_rows
 
 BITS = 20
 #: Bound of the training sample.
@@ -141,8 +141,7 @@ def score_toxicity(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> Dat
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": score_texts(pdf["text"].tolist(), dense)})
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, f"doc_id {kind}, score double")
+    return map_rows(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, "score double")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
