@@ -92,7 +92,7 @@ def similar_activity(a: Column, b: Column) -> Column:
 
 def http_date(text: Column) -> Column:
     """Epoch seconds of the three HTTP date formats; 0 where none fits. Weekday names are passed over."""
-    body = F.regexp_replace(text, r"^[A-Za-z]+,? +", "")
+    body = F.regexp_replace(text, r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun)[a-z]*,? +", "")
     forms = ("dd MMM yyyy HH:mm:ss 'GMT'", "dd-MMM-yy HH:mm:ss 'GMT'", "MMM d HH:mm:ss yyyy")
     squeezed = F.regexp_replace(body, " +", " ")
     found = [F.unix_timestamp(F.try_to_timestamp(squeezed, F.lit(f))) for f in forms[:1] + forms[2:]]

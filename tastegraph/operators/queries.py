@@ -246,11 +246,11 @@ def browse_by_letter(v: Views) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT vec_id AS item_id, embedding AS e, label AS g FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, similar_id) AS rk FROM (SELECT a.item_id, b.item_id AS similar_id, a.g AS ga, b.g AS gb, round(list_dot_product(a.e::DOUBLE[],b.e::DOUBLE[]),9) AS score FROM f a JOIN f b ON a.item_id<>b.item_id))
-SELECT item_id, rk::INT AS rk, similar_id, round(score,6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, gb ORDER BY rk) AS seen FROM t WHERE rk<=30 AND ga<>gb) WHERE seen=1""")
+SELECT item_id, rk::INT AS rk, similar_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id, gb ORDER BY rk) AS seen FROM t WHERE rk<=30 AND ga<>gb) WHERE seen=1""")
 def factor_neighbours(v: Views) -> DataFrame:
     e = v.t("embeddings")
     groups = e.select(F.col("vec_id").alias("item_id"), F.col("label").alias("group_id"))
-    return factors.item_neighbours(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), groups).withColumn("score", F.round("score", 6))
+    return factors.item_neighbours(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), groups)
 
 
 @query()
