@@ -153,7 +153,9 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
         return spark.createDataFrame([], schema)
     width = widths["w"]
     base = base.where(F.size("x") == width)
-    fit_on = _unit(np.array([r["x"] for r in spread(base, sample, "vec_id").collect()], float))
+    # Ids are drawn first and the vectors fetched by them, so that at most ``sample`` vectors reach the driver.
+    drawn = base.join(F.broadcast(spread(base.select("vec_id"), sample, "vec_id")), "vec_id", "left_semi").limit(sample)
+    fit_on = _unit(np.array([x for _, x in sorted((r["vec_id"], r["x"]) for r in drawn.collect())], float))
     books = fit_books(fit_on)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
