@@ -134,10 +134,42 @@ def test_line_dedup_odd_tables(spark, odd):
 
 
 def test_line_dedup_runs_no_python(docs):
-    plan = lines.candidate_pairs(lines.distinct_lines(lines._occurrences(docs)))._jdf.queryExecution().toString()
+    found = lines.distinct_lines(lines._occurrences(docs))
+    plan = lines.candidate_pairs(found, lines.large_bands(found))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_components_hold_every_similar_pair_of_a_band(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lines, "LAGS", 1)
+    monkeypatch.setattr(lines, "CHUNK", 3)
+    rng = random.Random(11)
+    tails = [f"{a} {b}" for a in ("red", "blue", "green", "black") for b in ("one", "two", "three", "four", "five", "six")]
+    heads = ["the committee of the northern harbour will", "every visitor must sign the long register and"]
+    text = [f"{rng.choice(heads)} {' '.join(rng.choices(tails, k=rng.randrange(1, 4)))}" for _ in range(300)]
+    occurrences = lines._occurrences(table(spark, list(enumerate(text))))
+    found = lines.distinct_lines(occurrences)
+    got = {r["node"]: r["component"] for r in lines.line_components(occurrences, found).collect()}
+    sets = {r["lid"]: set(r["s"]) for r in occurrences.select("lid", lines.shingle_hashes("n").alias("s")).collect()}
+    bands = {r["lid"]: set(r["bands"]) for r in found.select("lid", "bands").collect()}
+    ids, root = sorted(sets), {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in ids:
+        for j in ids:
+            if i < j and bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    linked = {i: find(i) for i in ids if any(j != i and find(j) == find(i) for j in ids)}
+    assert got == linked and len(set(linked.values())) > 1
+    assert found.select(F.explode("bands").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] > 20
+
+
 def test_token_files_round_trip(spark, docs, odd):
     from tokenizers import Tokenizer
 
