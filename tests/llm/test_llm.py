@@ -150,7 +150,7 @@ def test_line_components_hold_every_similar_pair_of_a_band(spark, monkeypatch):
     text = [f"{rng.choice(heads)} {' '.join(rng.choices(tails, k=rng.randrange(1, 4)))}" for _ in range(300)]
     occurrences = lines._occurrences(table(spark, list(enumerate(text))))
     found = lines.distinct_lines(occurrences)
-    got = {r["node"]: r["component"] for r in lines.line_components(occurrences, found).collect()}
+    got = {r["node"]: r["component"] for r in lines.line_components(found).collect()}
     sets = {r["lid"]: set(r["s"]) for r in occurrences.select("lid", lines.shingle_hashes("n").alias("s")).collect()}
     bands = {r["lid"]: set(r["bands"]) for r in found.select("lid", "bands").collect()}
     ids, root = sorted(sets), {i: i for i in sets}
