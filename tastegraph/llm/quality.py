@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -54,12 +55,11 @@ def features(text: str) -> list[float]:
     share = counts / n
     entropy = -float(np.sum(share[share > 0] * np.log(share[share > 0])))
     size = np.log1p(k)
-    step = max(1, k // 64)
-    # Words that stand again two, or up to twelve, places on: loops of words and of phrases.
-    back = max((sum(a == b for a, b in zip(words[d::step], words[::step])) * step / (k - d) for d in (1, 2, 3, 4) if k > d), default=0.0) if k < 4096 else 0.0
+    # Words that stand again one to four places on: loops of words and of phrases.
+    back = max((sum(map(eq, words[d:], words)) / (k - d) for d in (1, 2, 3, 4) if k > d), default=0.0)
     return [
         *(counts @ _TABLE / n).tolist(), entropy, size, n / (k + 1) / 10, len(kinds) / max(1, k), np.log1p(len(kinds)) / max(1.0, size),
-        len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), np.log1p(len(text)) - np.log1p(len(lines)), min(1.0, back),
+        len(set(lines)) / max(1, len(lines)), np.log1p(len(lines)), np.log1p(len(text)) - np.log1p(len(lines)), back,
         sum(w[-1].isalnum() for w in words) / max(1, k), sum(w.isupper() for w in words) / max(1, k), len({*zip(words, words[1:])}) / max(1, k - 1),
     ]
 

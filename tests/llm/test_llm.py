@@ -361,3 +361,11 @@ def test_pipeline_runs_and_filters(spark):
     got = corpus_pipeline.run(spark, DATA)
     ids = [r["doc_id"] for r in got.collect()]
     assert 0 < len(ids) < spark.read.parquet(f"{DATA}/documents.parquet").count() and len(set(ids)) == len(ids)
+
+
+def test_quality_features_read_whole_texts_alike():
+    loop = quality.features("one two " * 100)
+    long = quality.features("one two " * 5000)
+    at = [k for k, x in enumerate(loop) if x == 1.0 and long[k] == 1.0]
+    plain = quality.features(" ".join(f"w{i}" for i in range(10000)))
+    assert any(plain[k] == 0.0 for k in at)  # the share of words that stand again, at every length
