@@ -1,13 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: three-word seeds, then Smith-Waterman alignment.
 
-The benchmark is cut into slices of bounded size, each broadcast. A pass over the whole
-texts finds every place where a document holds three-word grams of an item close together
-and emits the words around it. Each gram's document count over the corpus decides which are
-rare: those not much more frequent than the rarest within SEED_WINDOW grams of their item,
-so that every stretch of an item keeps seeds however often it was copied. Passages with a
-seed are aligned, word by word, with their item, many at once: a row of the alignment is a
-few numpy operations over a batch. The score is the best local alignment over that of an
-exact copy.
+The benchmark is cut into slices of bounded size, each broadcast. One pass over the whole
+texts finds every place where a document holds a three-word gram of an item, with as many
+words around it as an alignment at the threshold can span. A place is left out only if it
+holds too few of the item's words for the threshold, whatever their order; all others are
+aligned, word by word, with their item, many at once: a row of the alignment is a few numpy
+operations over a batch. No gram is too frequent to be a seed, so what one document holds
+never depends on the others. The score is the best local alignment over that of an exact
+copy. A copy so edited that no three words in a row are left has no seed.
 
 Words are lower-cased runs of letters and digits. Nulls, blanks: null texts count as empty
 and match nothing; items of fewer than three words have no gram and match nothing. Items
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +29,12 @@ from tastegraph.llm.labelled import map_rows
 from tastegraph.plans.scratch import materialize
 
 GRAM = 3
-SEED_WINDOW = 6
-#: A gram is a seed up to this multiple of the least document count around it, plus two.
-SEED_SPREAD = 4
-#: A passage needs this many different grams of an item (or all of a shorter item's).
-MIN_GRAMS = 2
 MATCH, MISMATCH, GAP = 2, -1, -1
 THRESHOLD = 0.5
 #: Characters of benchmark text that are broadcast at once.
 SLICE_CHARS = 8_000_000
+#: Words of passages that are collected for alignment at once, about.
+BATCH_WORDS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -46,36 +42,38 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def gram_key(words: list[str]) -> int:
-    """A signed 64-bit name of a gram."""
-    k = xxhash.xxh64_intdigest(" ".join(words))
-    return k - 2**64 if k >= 2**63 else k
-
-
 class ItemGrams:
     """Lookup tables of a slice of items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         self.items = [(i, words_of(t)) for i, t in items]
         vocab: dict[str, int] = {}
         for _, ws in self.items:
             for w in ws:
                 vocab.setdefault(w, len(vocab) + 1)
         self.vocab, self.base = vocab, len(vocab) + 1
-        rows = []
+        rows, self.bags = set(), []
         for k, (_, ws) in enumerate(self.items):
-            for p in range(len(ws) - GRAM + 1):
-                a, b, c = (vocab[w] for w in ws[p : p + GRAM])
-                rows.append(((a * self.base + b) * self.base + c, k, p, gram_key(ws[p : p + GRAM])))
-        rows.sort()
-        self.key = np.array([r[0] for r in rows], np.int64)
-        self.item, self.pos = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-        self.name = np.array([r[3] for r in rows], np.int64)
+            own = [vocab[w] for w in ws]
+            self.bags.append(np.unique(np.array(own, np.int64), return_counts=True))
+            rows.update(((a * self.base + b) * self.base + c, k) for a, b, c in zip(own, own[1:], own[2:]))
+        order = sorted(rows)
+        self.key, self.item = np.array([r[0] for r in order], np.int64), np.array([r[1] for r in order], np.int64)
         self.length = np.array([len(ws) for _, ws in self.items], np.int64)
-        self.need = np.minimum(MIN_GRAMS, [len({*zip(ws, ws[1:], ws[2:])}) for _, ws in self.items]) if items else np.zeros(0, np.int64)
-
-    def passages(self, text: str) -> Iterator[tuple[int, list[int], list[str]]]:
-        """(item number, names of its grams found, words around them) of each place in the whole text."""
+        # A score of the threshold needs so many equal words, and spans so many words of a text at most.
+        self.need = threshold * self.length - 1e-9
+        self.reach = np.ceil(self.length * (1 + 2 * max(0.0, 1 - threshold))).astype(np.int64)
+
+    def can_reach(self, k: int, ids: np.ndarray) -> bool:
+        """Whether the words hold enough of the item's for the threshold, in any order."""
+        own, most = self.bags[k]
+        at = np.searchsorted(own, ids)
+        at[at == len(own)] = 0
+        found = np.bincount(at[own[at] == ids], minlength=len(own))
+        return np.minimum(found, most).sum() >= self.need[k]
+
+    def passages(self, text: str) -> Iterator[tuple[int, list[str]]]:
+        """(item number, words) of each place in the whole text that may hold the item."""
         words = words_of(text)
         get = self.vocab.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
@@ -94,19 +92,16 @@ class ItemGrams:
         row = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         pos, item = np.repeat(at, count), self.item[row]
         order = np.lexsort((pos, item))
-        pos, item, row = pos[order], item[order], row[order]
-        cut = np.flatnonzero((item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > self.length[item[1:]])) + 1
+        pos, item = pos[order], item[order]
+        cut = np.flatnonzero((item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > self.reach[item[1:]])) + 1
         for s, e in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(pos)]))):
-            k, n = int(item[s]), int(self.length[item[s]])
-            if len(np.unique(self.name[row[s:e]])) < self.need[k]:
-                continue
+            k, n = int(item[s]), int(self.reach[item[s]])
             first, last = max(0, int(pos[s]) - n), min(len(words), int(pos[e - 1]) + GRAM + n)
             # A long place is cut into overlapping stretches; an alignment of the item fits into one.
-            for f in range(first, max(first + 1, last - 2 * n), 4 * n):
-                t = min(last, f + 6 * n)
-                inside = (pos[s:e] >= f) & (pos[s:e] < t)
-                if inside.any():
-                    yield k, np.unique(self.name[row[s:e][inside]]).tolist(), words[f:t]
+            for f in range(first, max(first + 1, last - n), 2 * n):
+                t = min(last, f + 3 * n)
+                if ((pos[s:e] >= f) & (pos[s:e] < t)).any() and self.can_reach(k, ids[f:t]):
+                    yield k, words[f:t]
 
 
 def align(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
@@ -133,57 +128,34 @@ def align(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
     return best / np.maximum(1, MATCH * np.array([len(p) for p in a]))
 
 
-def _seed_rows(table: ItemGrams, counts: dict[int, int]) -> list[tuple[int, int]]:
-    """(item number, gram name) of the rare grams."""
-    out = set()
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for k, p, name in zip(table.item.tolist(), table.pos.tolist(), table.name.tolist()):
-        by_item.setdefault(k, []).append((p, name))
-    for k, rows in by_item.items():
-        names = [n for _, n in sorted(rows)]
-        df = [counts.get(n, 0) for n in names]
-        for p, n in enumerate(names):
-            around = [d for d in df[max(0, p - SEED_WINDOW + 1) : p + SEED_WINDOW] if d]
-            if df[p] and df[p] <= SEED_SPREAD * min(around) + 2:
-                out.add((k, n))
-    return sorted(out)
-
-
 def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
-    spark = docs.sparkSession
-    table = ItemGrams(items)
-    sent = spark.sparkContext.broadcast(table)
+    sent = docs.sparkSession.sparkContext.broadcast(ItemGrams(items, threshold))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(rows: list[tuple[str | None, int, list[str]]]) -> pd.DataFrame:
         grams = sent.value
+        order = sorted(range(len(rows)), key=lambda r: len(rows[r][2]) * grams.length[rows[r][1]])
+        result = np.zeros(len(rows))
+        for at in range(0, len(order), 128):
+            part = order[at : at + 128]
+            result[part] = align([(grams.items[rows[r][1]][1], rows[r][2]) for r in part])
+        out = pd.DataFrame({"doc_id": [r[0] for r in rows], "item_id": [grams.items[r[1]][0] for r in rows], "score": result})
+        return out[out["score"] >= threshold]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for pdf in batches:
-            rows = [(d, k, names, " ".join(ws)) for d, t in zip(pdf["doc_id"], pdf["text"]) for k, names, ws in grams.passages(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "k", "grams", "words"])
+            for d, t in zip(pdf["doc_id"], pdf["text"]):
+                for k, ws in sent.value.passages(t):
+                    rows.append((d, k, ws))
+                    size += len(ws)
+                    if size >= BATCH_WORDS:
+                        yield scored(rows)
+                        rows, size = [], 0
+        if rows:
+            yield scored(rows)
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    passages = materialize(map_rows(texts, find, "k int, grams array<long>, words string"), "passages")
-    # One row for each gram of the slice at most, so the counts are as bounded as the slice.
-    seen = passages.select("doc_id", F.explode("grams").alias("gram")).distinct().groupBy("gram").count()
-    counts = {r["gram"]: r["count"] for r in seen.collect()}
-    seeds = spark.createDataFrame(_seed_rows(table, counts), "k int, gram long")
-    keyed = passages.withColumn("place", F.xxhash64("doc_id", "k", "words"))
-    rare = keyed.select("k", "place", F.explode("grams").alias("gram")).join(F.broadcast(seeds), ["k", "gram"], "left_semi").select("place").distinct()
-    held = keyed.join(rare, "place", "left_semi")
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = sent.value
-        for pdf in batches:
-            size = pdf["words"].str.len().to_numpy() * grams.length[pdf["k"].to_numpy(np.int64)]
-            order = np.argsort(size, kind="stable")
-            result = np.zeros(len(pdf))
-            for at in range(0, len(order), 128):
-                part = order[at : at + 128]
-                result[part] = align([(grams.items[k][1], w.split()) for k, w in zip(pdf["k"].iloc[part], pdf["words"].iloc[part])])
-            ids = [grams.items[k][0] for k in pdf["k"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "item_id": ids, "score": result})
-
-    scored = map_rows(held.select("doc_id", "k", "words"), score, "item_id long, score double")
-    return scored.where(F.col("score") >= threshold)
+    return map_rows(texts, find, "item_id long, score double")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_chars: int = SLICE_CHARS) -> DataFrame:
