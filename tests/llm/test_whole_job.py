@@ -2,7 +2,7 @@
 
 import random
 
-from tastegraph.llm import decontam
+from tastegraph.llm import decontam, lines
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -45,3 +45,32 @@ def test_decontamination_finds_every_seeded_alignment():
                 seen += 1
                 assert abs(scores[j] - want) < 1e-9
     assert seen > 60
+
+
+def true_jaccard(a, b):
+    x, y = ({s[i : i + 12] for i in range(max(1, len(s) - 11))} for s in (a.lower().strip(" "), b.lower().strip(" ")))
+    return len(x & y) / len(x | y)
+
+
+def test_line_dedup_reads_lines_without_blanks_to_their_end(spark):
+    rng = random.Random(8)
+    pick = lambda s, n: "".join(rng.choices(s, k=n))
+    low, kana = "abcdefghijklmnopqrstuvwxyz", "日本語文章空白全体見必要新聞天気春夏秋冬山川海空のはをにがでと"
+    make = [
+        lambda: "https://www." + ".".join(pick(low, 7) for _ in range(2)) + "/" + "/".join(pick(low, rng.randrange(3, 9)) for _ in range(30)),
+        lambda: "see https://www." + "/".join(pick(low, rng.randrange(3, 9)) for _ in range(30)) + " now",
+        lambda: "日本語文章空白全体見必要新" + pick(kana, 180),
+        lambda: "first\tsecond\tthird\t" + "\t".join(pick(low, rng.randrange(2, 9)) for _ in range(30)),
+        lambda: "sha512:0000000" + pick("0123456789abcdef", 180),
+    ]
+    base = [m() for m in make for _ in range(12)]
+    near = []
+    for line in base:  # one character more in the middle moves all that follows
+        at = len(line) // 2
+        near.append(line[:at] + "q" + line[at:])
+    rows = list(enumerate([*base, *near]))
+    got = {r["doc_id"]: r["text"] for r in lines.dedup_lines(table(spark, rows)).collect()}
+    assert all(true_jaccard(a, b) >= 0.8 for a, b in zip(base, near))
+    assert max(true_jaccard(a, b) for k, a in enumerate(base) for b in base[:k]) < 0.5
+    assert all(got[k] == base[k] for k in range(len(base)))
+    assert sum(got[len(base) + k] == "" for k in range(len(base))) >= 0.85 * len(base)
