@@ -11,7 +11,8 @@ copy. A copy so edited that no three words in a row are left has no seed.
 
 Words are lower-cased runs of letters and digits. Nulls, blanks: null texts count as empty
 and match nothing; items of fewer than three words have no gram and match nothing. Items
-that repeat are each reported; rows of one doc_id are reported once, with their best score.
+that repeat are each reported; rows of one doc_id are reported once, with their best score,
+but dropped each by its own text.
 An empty table on either side gives an empty result.
 """
 
@@ -131,22 +132,22 @@ def align(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
 def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(ItemGrams(items, threshold))
 
-    def scored(rows: list[tuple[str | None, int, list[str]]]) -> pd.DataFrame:
+    def scored(rows: list[tuple[str | None, str, int, list[str]]]) -> pd.DataFrame:
         grams = sent.value
-        order = sorted(range(len(rows)), key=lambda r: len(rows[r][2]) * grams.length[rows[r][1]])
+        order = sorted(range(len(rows)), key=lambda r: len(rows[r][3]) * grams.length[rows[r][2]])
         result = np.zeros(len(rows))
         for at in range(0, len(order), 128):
             part = order[at : at + 128]
-            result[part] = align([(grams.items[rows[r][1]][1], rows[r][2]) for r in part])
-        out = pd.DataFrame({"doc_id": [r[0] for r in rows], "item_id": [grams.items[r[1]][0] for r in rows], "score": result})
+            result[part] = align([(grams.items[rows[r][2]][1], rows[r][3]) for r in part])
+        out = pd.DataFrame({"doc_id": [r[0] for r in rows], "key": [r[1] for r in rows], "item_id": [grams.items[r[2]][0] for r in rows], "score": result})
         return out[out["score"] >= threshold]
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, size = [], 0
         for pdf in batches:
-            for d, t in zip(pdf["doc_id"], pdf["text"]):
+            for d, key, t in zip(pdf["doc_id"], pdf["key"], pdf["text"]):
                 for k, ws in sent.value.passages(t):
-                    rows.append((d, k, ws))
+                    rows.append((d, key, k, ws))
                     size += len(ws)
                     if size >= BATCH_WORDS:
                         yield scored(rows)
@@ -154,12 +155,12 @@ def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold:
         if rows:
             yield scored(rows)
 
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return map_rows(texts, find, "item_id long, score double")
+    texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return map_rows(texts, find, "item_id long, score double", ids=("doc_id", "key"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """``(doc_id, item_id, score)`` of each document that holds an item or an edited copy of it."""
+def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """``(doc_id, key, item_id, score)`` of places that hold an item; key tells rows of one doc_id apart."""
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-size // slice_chars))
@@ -168,10 +169,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).orderBy("item_id", "text")
         one = _matches_of_slice(docs, [(r["item_id"], r["text"]) for r in part.collect()], threshold)
         found = one if found is None else found.unionByName(one)
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    return found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """``(doc_id, item_id, score)`` of each document that holds an item or an edited copy of it."""
+    return matches(docs, benchmark, threshold, slice_chars).groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents that hold benchmark material; same columns."""
-    bad = materialize(contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    bad = materialize(matches(docs, benchmark, threshold).select(F.col("doc_id").alias("_bad"), F.col("key").alias("_bad_key")).distinct(), "contaminated")
+    own = F.xxhash64(docs["doc_id"], docs["text"])
+    return docs.join(bad, (own == bad["_bad_key"]) & docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")

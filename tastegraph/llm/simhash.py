@@ -66,15 +66,15 @@ def fingerprints(texts: list[str | None], width: int = SHINGLE_WORDS, block: int
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp)``; fp holds the fingerprint's bits as a signed long."""
+    """``(doc_id, key, fp)``; fp holds the fingerprint's bits as a signed long, key tells rows of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts = [x if isinstance(x, str) else None for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fingerprints(texts).view(np.int64)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": pdf["key"], "fp": fingerprints(texts).view(np.int64)})
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_rows(source, run, "fp long")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    return map_rows(source, run, "fp long", ids=("doc_id", "key"))
 
 
 def _forest(values: np.ndarray) -> list[tuple[int, int]]:
@@ -148,14 +148,16 @@ def fingerprint_links(fps: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return ready.mapInPandas(_links, "a long, b long").distinct()
 
 
+def with_components(reps: DataFrame, fps: DataFrame) -> DataFrame:
+    """``reps``, a row for each distinct fp of ``fps``, with its ``component``."""
+    comps = materialize(connected_components(fingerprint_links(fps)), "simhash-components")
+    return reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``."""
     fps = materialize(with_fingerprints(docs, id_col, text_col), "simhash")
-    comps = materialize(connected_components(fingerprint_links(fps)), "simhash-components")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    placed = reps.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
+    placed = with_components(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), fps)
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = placed.join(least, "component").select(F.col("fp"), "component_id")
     return fps.join(named, "fp").select(
@@ -166,12 +168,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each near-duplicate group: that with the least doc_id.
 
-    Where a doc_id repeats, one of its rows is kept for a group.
+    Rows of one doc_id, or of none, are told apart by their text: each group keeps one row of
+    its own. A row without a doc_id stays only where its whole group has none.
     """
     names = docs.columns
-    found = materialize(near_duplicates(docs, id_col, text_col), "simhash-found")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
-    packed = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("id"))
-    kept = packed.join(keep, packed["id"].eqNullSafe(keep["doc_id"]))
-    again = kept.where("times > 1").dropDuplicates(["id"])
+    fps = materialize(with_fingerprints(docs, id_col, text_col), "simhash")
+    equal = fps.groupBy("fp", "doc_id", "key").agg(F.count(F.lit(1)).alias("times"))
+    reps = equal.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "times")).alias("rep"))
+    least = with_components(reps, fps).groupBy("component").agg(F.min("rep").alias("rep"))
+    keep = materialize(least.select("rep.doc_id", "rep.key", "rep.times"), "simhash-found")
+    packed = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("_id"), F.xxhash64(id_col, text_col).alias("_key"))
+    kept = packed.join(keep, (F.col("_key") == F.col("key")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+    again = kept.where("times > 1").dropDuplicates(["_id", "_key"])
     return kept.where("times = 1").select("row.*").unionByName(again.select("row.*"))
