@@ -7,8 +7,9 @@ at host dot org"), and adds spans that no base span overlaps. Whole texts are co
 overlapping windows; their label scores are averaged where windows overlap, and a run of
 overlapping windows is decoded as one sequence, so a span on a seam is found once.
 
-Every kind that the network knows holds a digit, or an at sign in one of its forms; a
-window that has neither can hold no admissible span and is not scored.
+Every kind that the network knows holds a digit, an at sign, or a written-out address: "at"
+between blanks or in brackets, and a name with a dot, or with "dot" so written, after it. A
+window that has none of them can hold no admissible span and is not scored.
 
 Offsets count code points, ends exclusive. Nulls, blanks: a null text counts as empty and
 has no spans. Repeated rows are searched each. An empty table gives an empty result.
@@ -38,6 +39,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
+_OPEN, _CLOSE = r"[\[({]\s*", r"\s*[\])}]"
+_DOT = rf"(?:\.|\s*{_OPEN}dot{_CLOSE}\s*|\s+dot\s+)"
+# Between plain blanks both words are common ("was at home dot matrix"): there the dot is written out and the end is a usual one.
+_END = "(?:[a-z]{2}|com|org|net|edu|gov|mil|int|info|biz|name|dev|app)"
+_BRACKETED = rf"\s*{_OPEN}dot{_CLOSE}\s*"
+_PLAIN = rf"\s+at\s+[\w-]+(?:(?:{_BRACKETED}|\s+dot\s+)[\w-]+)*(?:{_BRACKETED}[\w-]+|\s+dot\s+{_END})\b"
+_WRITTEN = re.compile(rf"(?i)[\w.%+-]+(?:\s*{_OPEN}at{_CLOSE}\s*[\w-]+(?:{_DOT}[\w-]+)+|{_PLAIN})")
+# Where any match of _WRITTEN has its at, or what a span of another form must hold.
+_MARK = re.compile(rf"(?i)[0-9@]|(?:{_OPEN}at{_CLOSE}\s*|\sat\s+)[\w-]+{_DOT}[\w-]")
 
 Span = tuple[str, int, int]
 
@@ -225,8 +235,6 @@ def sample_sentence(rng: random.Random) -> tuple[str, list[Span]]:
             host = [plain(), *([plain()] if rng.random() < 0.3 else []), str(rng.choice(["com", "org", "net", "de"]))]
             user = plain() + (rng.choice([".", "_", "-"]) + plain() if rng.random() < 0.5 else "") + (digits(2) if rng.random() < 0.5 else "")
             a, d = (("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" @ ", " . "))[rng.randrange(0, 5)]
-            if a.strip(" [](") == "at" and not re.search("[0-9]", user):
-                user += digits(2)
             text += user + a + d.join(host)
             spans.append(("email", at, len(text)))
         elif kind == 2:
@@ -241,11 +249,13 @@ def sample_sentence(rng: random.Random) -> tuple[str, list[Span]]:
             spans.append(("card", at, len(text)))
         elif kind == 4:
             sep = rng.choice([" ", "-", ".", "/"])
-            head = rng.choice([f"+{digits(2)}{sep}", f"({digits(3)}) ", f"00{digits(2)}{sep}", f"+{digits(1)} ({digits(3)}) "])
+            head = rng.choice([f"+{digits(2)}{sep}", f"({digits(3)}) ", f"00{digits(2)}{sep}", f"+{digits(1)} ({digits(3)}) ", f"{digits(3)}{sep}"])
             text += head + digits(3) + sep + digits(4)
             spans.append(("phone", at, len(text)))
         elif kind == 5:  # numbers that are no personal data
-            text += rng.choice([digits(4), digits(2) + "%", digits(1) + "." + digits(2), "v" + digits(1) + "." + digits(1) + "." + digits(1), digits(4) + "-" + digits(2) + "-" + digits(2), digits(6), "".join(rng.choices("0123456789abcdef", k=40)), "@" + plain(), "$" + digits(3)])
+            text += rng.choice([digits(4), digits(2) + "%", digits(1) + "." + digits(2), "v" + digits(1) + "." + digits(1) + "." + digits(1), digits(4) + "-" + digits(2) + "-" + digits(2), digits(6), "".join(rng.choices("0123456789abcdef", k=40)), "@" + plain(), "$" + digits(3), digits(10)])
+        elif kind == 6:  # plain words that are no address
+            text += rng.choice([f"{word()} at {word()} {word()}", f"{word()} at {word()}. {word()}", f"{word()} dot {word()}", f"at {word()}, dot {word()}", f"{word()} at {plain()}.{rng.choice(['com', 'org'])}", f"a dot at the {word()}"])
         text += rng.choice([" ", ". ", ", ", ") ", "\n"])
     return text, spans
 
@@ -296,9 +306,9 @@ def train(steps: int = 320, batch: int = 32, length: int = 80, seed: int = 11) -
 
 
 def windows_of(text: str) -> list[tuple[int, int]]:
-    """Overlapping windows over the whole text, without those that hold neither a digit nor an at sign."""
+    """Overlapping windows over the whole text, without those that hold no digit, at sign or written-out address."""
     step = WINDOW - OVERLAP
-    marks = [m.start() for m in re.finditer("[0-9@]", text)]
+    marks = [p for m in _MARK.finditer(text) for p in {m.start(), m.end() - 1}]
     last = max(0, -(-(len(text) - WINDOW) // step))
     numbers = sorted({k for p in marks for k in range(max(0, -(-(p - WINDOW + 1) // step)), min(p // step, last) + 1)})
     return [(k * step, min(len(text), k * step + WINDOW)) for k in numbers]
@@ -309,13 +319,16 @@ def admissible(kind: str, text: str) -> bool:
     digits = sum(c in "0123456789" for c in text)
     if kind == "email":
         parts = re.split(r"(?i)\s*(?:@|[\[(]at[\])]|\bat\b)\s*", text)
+        if _WRITTEN.fullmatch(text):
+            return True
         return len(parts) == 2 and bool(re.fullmatch(r"[\w.%+-]+", parts[0])) and len(re.split(r"(?i)\s*(?:\.|[\[(]dot[\])]|\bdot\b)\s*", parts[1])) > 1 and ("@" in text or digits > 0)
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and not re.search(r"\w", re.sub("[0-9]", "", text))
     if kind == "card":
         return 13 <= digits <= 19 and not re.search("[^0-9 ._-]", text) and luhn(re.sub("[^0-9]", "", text))
-    return 9 <= digits <= 15 and not re.search("[^0-9 ().+/-]", text) and text[0] in "+(0"
+    grouped = len(re.findall("[0-9]+", text)) > 2
+    return 9 <= digits <= 15 and not re.search("[^0-9 ().+/-]", text) and (text[0] in "+(0" or (grouped and text[0].isdigit()))
 
 
 def model_spans(texts: list[str], w: dict[str, np.ndarray]) -> list[list[Span]]:
@@ -355,6 +368,9 @@ def model_spans(texts: list[str], w: dict[str, np.ndarray]) -> list[list[Span]]:
                 s, e = start + t, start + end
                 body = texts[d][s:e]
                 s, e = s + len(body) - len(body.lstrip()), e - len(body) + len(body.rstrip())
+                # A written-out address often comes with a word beside it.
+                if KINDS[kind] == "email" and not admissible("email", texts[d][s:e]) and (held := _WRITTEN.search(texts[d], s, e)):
+                    s, e = held.span()
                 if s < e and admissible(KINDS[kind], texts[d][s:e]):
                     out[d].append((KINDS[kind], s, e))
                 t = end

@@ -2,7 +2,7 @@
 
 import random
 
-from tastegraph.llm import decontam, lines
+from tastegraph.llm import decontam, lines, pii
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +74,13 @@ def test_line_dedup_reads_lines_without_blanks_to_their_end(spark):
     assert max(true_jaccard(a, b) for k, a in enumerate(base) for b in base[:k]) < 0.5
     assert all(got[k] == base[k] for k in range(len(base)))
     assert sum(got[len(base) + k] == "" for k in range(len(base))) >= 0.85 * len(base)
+
+
+def test_pii_finds_written_out_addresses_and_plain_phones():
+    w = pii.train()
+    held = ["jane.doe at example dot org", "info [at] firm [dot] com", "peter(at)house(dot)net", "Jane.Doe AT Example DOT org", "555-867-5309"]
+    texts = [f"{'word ' * 60}write to {x} for more" for x in held]
+    found = [{t[s:e] for _, s, e in spans} for t, spans in zip(texts, pii.model_spans(texts, w))]
+    assert sum(x in f for x, f in zip(held, found)) >= 4
+    clean = ["we met at the river and saw a dot on the map", "look at this. Then go home", "he was at home dot matrix printers are old", "meet me at noon. The dot is red", "order 4839201745 was sent at noon"]
+    assert pii.model_spans(clean, w) == [[] for _ in clean]
