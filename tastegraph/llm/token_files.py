@@ -12,7 +12,7 @@ A task writes to a name of its own and then moves the file into place, so a task
 runs again after a lost executor replaces the same file with the same bytes.
 
 Nulls, blanks: a null text counts as empty and yields the end id alone; null doc_ids come
-first; rows that repeat a doc_id are all kept, ordered by their text. An empty table gives
+first; rows that repeat a doc_id are all kept, ordered by the XXH64 of their text. An empty table gives
 no files and an empty result.
 """
 
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,13 +36,16 @@ from pyspark.sql import functions as F
 
 from tastegraph.llm.bpe import byte_alphabet
 from tastegraph.llm.labelled import map_rows
+from tastegraph.llm.pieces import RARE, PieceMemo, blocks
 from tastegraph.plans.scratch import scratch_path
 
 END_ID = 2
 SEQ_LEN = 2048
 BATCH_SEQS = 64
-#: Distinct pieces of text whose ids a worker remembers.
-MEMO = 1_000_000
+#: Bytes that a worker's memory of pieces may take, about.
+MEMO_BYTES = 192 << 20
+#: Words that the library reads in one call.
+CALL = 4000
 # Pieces begin with the white space before them; no token of a byte-level vocabulary
 # spans from a visible character into white space, so pieces can be encoded apart.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -51,9 +55,16 @@ _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 class PieceEncoder:
     """Ids of whole texts by the tokenizers library, which is asked once for each distinct piece.
 
-    A piece of letters, after a blank or not and before plain punctuation or not, is one or two
-    words of the vocabulary's own splitting and goes straight to the library's model; any
-    other piece goes through the library's whole encoder.
+    The vocabulary's own splitting keeps a blank with what follows it and a lone line end for
+    itself, so most texts are cut at blanks: a piece is a word whose blank is left out, or a line
+    end with the first word of its line. Such pieces are read many in one call, as one text, and
+    told apart by the blank or line end that begins each. A text with longer runs of white space,
+    or with rarer kinds, is cut where white space begins; its pieces, marked by two line ends,
+    stand for themselves and go through the library one by one.
+
+    The pieces of a block of texts become a dictionary-encoded Arrow array, so the memory of pieces
+    is asked once for each distinct one of the block, and the ids are gathered by numpy. The memory
+    is emptied when it has grown to MEMO_BYTES.
     """
 
     _known: dict[str, PieceEncoder] = {}
@@ -65,9 +76,11 @@ class PieceEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.kind = np.uint16 if self.tok.get_vocab_size() <= 65536 else np.uint32
-        self.memo: dict[str, bytes] = {}
-        self.signs = {b: ord(c) for b, c in byte_alphabet().items()}
+        size = self.tok.get_vocab_size()
+        self.kind = np.uint16 if size <= 65536 else np.uint32
+        signs = byte_alphabet()
+        self.starts = np.array([(self.tok.id_to_token(i) or "").startswith((signs[32], signs[10])) for i in range(size)])
+        self.memo = PieceMemo(self.kind, MEMO_BYTES)
 
     @classmethod
     def of(cls, path: str) -> PieceEncoder:
@@ -75,45 +88,57 @@ class PieceEncoder:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def _word(self, word: str) -> bytes:
-        found = self.tok.model.tokenize(word.encode().decode("latin-1").translate(self.signs))
-        return np.array([t.id for t in found], self.kind).tobytes()
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one_by_one(self, pieces: list[str], texts: list[str]) -> None:
+        each = [np.array(x, self.kind) for x in self._ids(texts)]
+        self.memo.keep(pieces, np.concatenate([np.zeros(0, self.kind), *each]), np.array([len(x) for x in each], np.int64))
 
     def learn(self, pieces: list[str]) -> None:
-        words: dict[str, bytes] = {}
-        rest = []
-        for p in pieces:
-            head = p.rstrip(".,;:!?")
-            if (head[1:] if head[:1] == " " else head).isalpha():
-                ids = words.get(head)
-                if ids is None:
-                    ids = words[head] = self.memo.get(head) or self._word(head)
-                if len(head) < len(p):
-                    tail = p[len(head) :]
-                    if tail not in words:
-                        words[tail] = self._word(tail)
-                    ids += words[tail]
-                self.memo[p] = ids
+        words = [p for p in pieces if p[:2] != "\n\n" and p != "\n"]
+        for at in range(0, len(words), CALL):
+            part = words[at : at + CALL]
+            ids = np.array(self._ids([(" " + " ".join(part)).replace(" \n", "\n")])[0], self.kind)
+            cut = np.flatnonzero(self.starts[ids])
+            if len(cut) == len(part) and not cut[0]:
+                self.memo.keep(part, ids, np.diff(cut, append=len(ids)))
+            else:
+                self._one_by_one(part, [p if p[0] == "\n" else " " + p for p in part])
+        if len(words) < len(pieces):
+            rest = [p for p in pieces if p[:2] == "\n\n" or p == "\n"]
+            self._one_by_one(rest, [p[2:] if p[:2] == "\n\n" else p for p in rest])
+
+    def _pieces(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of all texts, a line end before each, and their number for each text."""
+        arrays, counts, run = [], [], []
+
+        def flush() -> None:
+            if run:
+                arrays.append(pc.list_flatten(pc.split_pattern(pa.array(["".join(run)], pa.large_string()), " "))[1:])
+                run.clear()
+
+        for t in texts:
+            if "  " in t or "\n\n" in t or " \n" in t or "\n " in t or t[:1].isspace() or t[-1:] == " " or RARE.search(t):
+                flush()
+                own = ["\n", *("\n\n" + p for p in _PIECE.findall(t))]
+                arrays.append(pa.array(own, pa.large_string()))
+                counts.append(len(own))
             else:
-                rest.append(p)
-        for p, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, self.kind).tobytes()
-
-    def encode(self, texts: list[str], block: int = 256) -> Iterator[bytes]:
-        """For each text the little-endian ids, without the end id."""
-        for at in range(0, len(texts), block):
-            cut = [_PIECE.findall(t) for t in texts[at : at + block]]
-            fresh: set[str] = set()
-            for pieces in cut:
-                fresh.update(pieces)
-            fresh.difference_update(self.memo)
-            if fresh:
-                if len(self.memo) + len(fresh) > MEMO:
-                    self.memo.clear()
-                    fresh = {p for pieces in cut for p in pieces}
-                self.learn(list(fresh))
-            for pieces in cut:
-                yield b"".join(map(self.memo.__getitem__, pieces))
+                run.append(" \n" + t.replace("\n", " \n"))
+                counts.append(run[-1].count(" "))
+        flush()
+        return pa.concat_arrays(arrays), np.array(counts, np.int64)
+
+    def encode(self, texts: list[str], end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, sizes) for blocks of texts in order; ids are those of all texts of the block, each closed with the end id."""
+        for part in blocks(texts):
+            pieces, counts = self._pieces(part)
+            ids, until = self.memo.gather(pieces, self.learn)
+            # The line end before each text gives its place to the end id of the text before.
+            begins = np.concatenate(([0], until[np.cumsum(counts)[:-1] - 1]))
+            ids[begins] = end_id
+            yield np.concatenate([ids[1:], np.array([end_id], self.kind)]), np.diff(begins, append=until[-1])
 
 
 def _schema(kind: type, length: int) -> pa.Schema:
@@ -132,28 +157,24 @@ class _Sink:
         self.writer = pa.ipc.new_file(self.out, self.schema)
         self.held, self.n = [], 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
         self.n += len(ids)
-        if self.n >= self.length * BATCH_SEQS * np.dtype(self.kind).itemsize:
+        if self.n >= self.length * BATCH_SEQS:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), self.kind)
-        whole = len(ids) if last else len(ids) - len(ids) % (self.length * BATCH_SEQS)
-        pad = -whole % self.length
-        body = np.concatenate([ids[:whole], np.zeros(pad, self.kind)])
-        mask = np.ones(len(body), bool)
-        mask[whole:] = False
-        if len(body):
-            self.writer.write_batch(
-                pa.record_batch(
-                    [pa.FixedSizeListArray.from_arrays(pa.array(body), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)],
-                    schema=self.schema,
-                ),
-            )
-        self.held = [ids[whole:].tobytes()]
-        self.n = len(self.held[0])
+        """Write what is held in batches of BATCH_SEQS sequences; the last may hold fewer, and ends in padding."""
+        ids, per = np.concatenate([np.zeros(0, self.kind), *self.held]), self.length * BATCH_SEQS
+        whole = len(ids) if last else len(ids) - len(ids) % per
+        for at in range(0, whole, per):
+            body = ids[at : min(whole, at + per)]
+            mask = np.ones(len(body) + -len(body) % self.length, bool)
+            mask[len(body) :] = False
+            body = np.concatenate([body, np.zeros(len(mask) - len(body), self.kind)])
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (body, mask)]
+            self.writer.write_batch(pa.record_batch(columns, schema=self.schema))
+        self.held, self.n = [ids[whole:].copy()], len(ids) - whole
 
     def close(self) -> None:
         self._flush(True)
@@ -174,29 +195,32 @@ def write_token_files(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, part, sink, at, seq = PieceEncoder.of(tokenizer), TaskContext.get().partitionId(), None, 0, 0
-        end = np.array([end_id], enc.kind).tobytes()
         for pdf in batches:
             if sink is None:
                 sink = _Sink(f"{folder}/ids", part, enc.kind, seq_len)
             lengths = []
-            for ids in enc.encode(pdf["text"].tolist()):
-                sink.add(ids + end)
-                lengths.append(len(ids) // len(end) + 1)
-            lengths = np.array(lengths, np.int64)
-            starts = at + np.concatenate(([0], np.cumsum(lengths)[:-1]))
+            for ids, sizes in enc.encode(pdf["text"].tolist(), end_id):
+                sink.add(ids)
+                lengths.append(sizes)
+            lengths = np.concatenate([np.zeros(0, np.int64), *lengths])
+            starts = at + np.cumsum(lengths) - lengths
             yield pd.DataFrame({"part": part, "doc_id": pdf["doc_id"], "seq": np.arange(seq, seq + len(pdf)), "at": starts, "n_tokens": lengths})
             at, seq = at + int(lengths.sum()), seq + len(pdf)
         if sink:
             sink.close()
 
-    dealt = source.repartitionByRange(spark_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # A doc_id that stands in many rows is dealt to several files by the hash of the text, and equal rows by their place in the input.
+    order = ["doc_id", "_h", "_m"]
+    keyed = source.withColumns({"_h": F.xxhash64("text"), "_m": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(files_of(docs), *order).sortWithinPartitions(*order).select("doc_id", "text")
     manifest = map_rows(dealt, run, "part int, seq long, at long, n_tokens long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.parquet(f"{folder}/manifest")
 
 
-def spark_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def files_of(docs: DataFrame) -> int:
+    """One file for each split of the input, so that files stay as large as splits, and no fewer than the tasks of a shuffle."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
 
 
 def open_token_file(folder: str, part: int) -> pa.ipc.RecordBatchFileReader:
