@@ -3,8 +3,8 @@
 The symbols of all words that a batch adds lie in one flat array. A round looks every
 adjacent pair up by binary search among the sorted keys of the merge table, takes each
 word's lowest-ranked pair, joins all its occurrences from left to right and compacts the
-array; rounds go on until no word has a known pair. Words seen before come from a bounded
-memory of each worker. Nothing here calls a tokenizer library.
+array; rounds go on until no word has a known pair. Words seen before come from a memory of
+each worker that is bounded in bytes. Nothing here calls a tokenizer library.
 
 Normalisation, splitting and special tokens follow the vocabulary file: NFC, white space to
 blanks, character-wise lower case, then contractions, letter runs, single digits and runs of
@@ -24,14 +24,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph.llm.labelled import map_rows
+from tastegraph.llm.pieces import RARE, PieceMemo, blocks, spliced
 
-#: Distinct white-space-free pieces that a worker remembers.
-MEMO = 700_000
+#: Bytes that a worker's memory of white-space-free pieces may take, about.
+MEMO_BYTES = 64 << 20
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE = re.compile(f"[^{_SPACE}]+")
 
@@ -68,9 +71,8 @@ class WordBpe:
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks, self.made = key[order], order.astype(np.int64), made
-        self.id_text = [str(i) for i in range(size)]
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, str] = {}
+        self.names = pa.array(map(str, range(size)), pa.string()), pa.array(self.tokens, pa.string())
+        self.memo = PieceMemo(np.int32, MEMO_BYTES)
 
     @classmethod
     def of(cls, path: str) -> WordBpe:
@@ -78,8 +80,8 @@ class WordBpe:
             cls._known[path] = cls(path)
         return cls._known[path]
 
-    def merge(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word given as its UTF-8 bytes."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, given as their UTF-8 bytes, in order, and where each word's begin and the last ends."""
         size = np.array([len(w) for w in words], np.int64)
         raw = np.frombuffer(b"".join(words), np.uint8)
         sym, owner = self.inner[raw], np.repeat(np.arange(len(words)), size)
@@ -120,63 +122,53 @@ class WordBpe:
             stay = ~gone & ~over
             sym, owner, pos = sym[stay], owner[stay], pos[stay]
         if not done_sym:
-            return [[] for _ in words]
+            return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
         sym, owner, pos = np.concatenate(done_sym), np.concatenate(done_owner), np.concatenate(done_pos)
         order = np.argsort(pos, kind="stable")
         sym, owner = sym[order], owner[order]
         keep = sym >= 0
         sym, owner = sym[keep], owner[keep]
-        edge = np.searchsorted(owner, np.arange(len(words) + 1))
-        flat = sym.tolist()
-        return [flat[edge[k] : edge[k + 1]] for k in range(len(words))]
+        return sym, np.searchsorted(owner, np.arange(len(words) + 1))
 
     def learn(self, pieces: list[str]) -> None:
-        """Put the ids and the decoded text of new white-space-free pieces into the memory."""
-        parts: list[list[str | int]] = []
+        """Put the ids of new white-space-free pieces into the memory."""
         words: dict[str, int] = {}
+        parts, counts, marks = [], [], list(self.special.values())
         for p in pieces:
-            own: list[str | int] = []
             low = lowered(p)
             if low.isalpha():
-                words.setdefault(low, len(words))
-                parts.append([low])
+                parts.append(words.setdefault(low, len(words)))
+                counts.append(1)
                 continue
+            before = len(parts)
             for x in self.cut.split(p) if self.cut and "<" in p else [p]:
                 if x in self.special:
-                    own.append(self.special[x])
+                    parts.append(-1 - marks.index(self.special[x]))
                 else:
-                    for w in self.pattern.findall(lowered(x)):
-                        words.setdefault(w, len(words))
-                        own.append(w)
-            parts.append(own)
-        ids = self.merge([w.encode() for w in words])
-        text, token = self.id_text.__getitem__, self.tokens.__getitem__
-        for p, own in zip(pieces, parts):
-            got: list[int] = []
-            for x in own:
-                got.extend([x] if isinstance(x, int) else ids[words[x]])
-            self.ids[p], self.decoded[p] = " ".join(map(text, got)), " ".join(map(token, got))
-
-    def code_batch(self, texts: list[str], block: int = 256) -> Iterator[tuple[int, str, str]]:
-        """For each text the number of ids, the decimal ids joined by blanks, the decoded text."""
-        for at in range(0, len(texts), block):
-            cut = [_PIECE.findall(t if t.isascii() else unicodedata.normalize("NFC", t)) for t in texts[at : at + block]]
-            fresh: set[str] = set()
-            for pieces in cut:
-                fresh.update(pieces)
-            fresh.difference_update(self.ids)
-            if fresh:
-                if len(self.ids) + len(fresh) > MEMO:
-                    self.ids.clear()
-                    self.decoded.clear()
-                    fresh = {p for pieces in cut for p in pieces}
-                self.learn(list(fresh))
-            for pieces in cut:
-                ids, decoded = (" ".join(filter(None, map(m.__getitem__, pieces))) for m in (self.ids, self.decoded))
-                yield ids.count(" ") + 1 if ids else 0, ids, decoded
+                    parts += [words.setdefault(w, len(words)) for w in self.pattern.findall(lowered(x))]
+            counts.append(len(parts) - before)
+        flat, edge = self.merge([w.encode() for w in words])
+        # Special tokens stand behind the words, one id each.
+        flat, edge = np.concatenate([flat, np.array(marks, np.int64)]), np.concatenate([edge, edge[-1] + np.arange(1, len(marks) + 1)])
+        at = np.array(parts, np.int64)
+        ids, until = spliced(flat, edge, np.where(at < 0, len(words) - 1 - at, at))
+        ends = np.concatenate(([0], until))[np.cumsum([0, *counts])]
+        self.memo.keep(pieces, ids, np.diff(ends))
+
+    def code_batch(self, texts: list[str]) -> Iterator[tuple[pa.ListArray, pa.Array, pa.Array]]:
+        """For blocks of texts in order: ids of each text, their decimals joined by blanks, the decoded texts."""
+        for part in blocks(texts):
+            clean = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in part]
+            clean = [" ".join(_PIECE.findall(t)) if RARE.search(t) else t.replace("\n", " ") for t in clean]
+            cut = pc.split_pattern(pa.array(clean, pa.large_string()), " ")
+            ids, until = self.memo.gather(cut.flatten(), self.learn)
+            ends = np.concatenate(([0], until))[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+            of = lambda values: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            text, token = (pc.binary_join(of(names.take(pa.array(ids))), " ") for names in self.names)
+            yield of(pa.array(ids)), text, token
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in next(self.code_batch([text]))[1].split()]
+        return next(self.code_batch([text]))[0][0].as_py()
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by blanks, as the library decodes where a vocabulary names no decoder."""
@@ -191,17 +183,17 @@ def lowered(text: str) -> str:
 def code_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and with ``with_text`` also ``ids array<int>, decoded``."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    sha = lambda texts: [hashlib.sha256(s).hexdigest() for s in texts.cast(pa.binary()).to_numpy(zero_copy_only=False)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = WordBpe.of(tokenizer)
         for pdf in batches:
-            rows = []
-            for n, ids, decoded in bpe.code_batch(pdf["text"].tolist()):
-                rows.append((n, sha(ids), sha(decoded)) + (([int(i) for i in ids.split()], decoded) if with_text else ()))
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: 5 if with_text else 3]
-            out = pd.DataFrame(rows, columns=names)
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            yield out
+            at = 0
+            for ids, text, decoded in bpe.code_batch(pdf["text"].tolist()):
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].iloc[at : at + len(ids)].to_numpy(), "n_tokens": pc.list_value_length(ids).to_numpy(), "ids_sha256": sha(text), "decoded_sha256": sha(decoded)})
+                if with_text:
+                    out["ids"], out["decoded"] = ids.to_pylist(), decoded.to_pylist()
+                at += len(ids)
+                yield out
 
     return map_rows(source, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_text else ""))
