@@ -44,9 +44,14 @@ def quantized(x: Column) -> Column:
     return F.greatest(F.lit(-128), F.least(F.lit(127), (x * SCALE).cast("int")))
 
 
-def scored(ratings: DataFrame, w: float = 0.0, d: float = 0.0) -> DataFrame:
+def dequantized(q: Column) -> Column:
+    """The value that a number of 32nds stands for."""
+    return q / float(SCALE)
+
+
+def scored(ratings: DataFrame, w: float = 0.0, d: float = 0.0, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Finished and dropped ratings with ``norm`` and ``q``."""
-    done = ratings.where(F.col("status").isin(*DONE)).join(user_stats(ratings), "user_id")
+    done = ratings.where(F.col("status").isin(*DONE)).join(user_stats(ratings, by), list(by))
     return done.withColumn("norm", normalized(w, d)).withColumn("q", quantized(F.col("norm")))
 
 
@@ -55,6 +60,11 @@ def activity_bucket(count: Column) -> Column:
     return F.when(count < 180, F.floor(count / 15)).otherwise(8 + F.floor(count / 45))
 
 
+def bucket_start(bucket: Column) -> Column:
+    """The least count that lies in an activity bucket."""
+    return F.when(bucket < 12, bucket * 15).otherwise((bucket - 8) * 45)
+
+
 def season(epoch: Column) -> Column:
     """Season and year in Tokyo; the third quarter is Fall and the fourth Winter."""
     at = F.from_utc_timestamp(F.timestamp_seconds(epoch), "Asia/Tokyo")
@@ -68,9 +78,25 @@ def adjusted_date(text: Column) -> Column:
 
 
 def short_date(text: Column) -> Column:
-    """MM-DD-YY to ISO: decades below 5 lie in this century; nothing gives all zeros."""
-    m, d, y = (F.substring_index(F.substring_index(text, "-", k), "-", -1) for k in (1, 2, 3))
-    return F.when(text.isNull(), "0000-00-00").otherwise(F.concat(F.when(y < "50", "20").otherwise("19"), y, F.lit("-"), m, F.lit("-"), d))
+    """MM-DD-YY to ISO: decades below 5 lie in this century; nothing gives all zeros, another form is an error."""
+    m, d, y = F.substring(text, 1, 2), F.substring(text, 4, 2), F.substring(text, 7, 2)
+    iso = F.concat(F.when(y < "50", "20").otherwise("19"), y, F.lit("-"), m, F.lit("-"), d)
+    return F.when(text.isNull(), "0000-00-00").when(text.rlike("^..-..-..$"), iso).otherwise(F.raise_error(F.concat(F.lit("unknown date "), text)).cast("string"))
+
+
+def day_of(epoch: Column, status: Column) -> Column:
+    """Days since 1970 of the last change of a finished or dropped item; 0 for other items."""
+    return F.when(status.isin(*DONE), F.floor(epoch / 86400)).otherwise(0)
+
+
+def latest_change(profile: Column, times: Column) -> Column:
+    """The profile's time of change if there is one, else the latest of the list's ``times``, else 0."""
+    return F.when(F.coalesce(profile, F.lit(0)) != 0, profile).otherwise(F.coalesce(F.array_max(times), F.lit(0)))
+
+
+def unpacked(text: Column) -> Column:
+    """Bytes of base64 text; null where it is none."""
+    return F.try_to_binary(text, F.lit("base64"))
 
 
 def tokens(text: Column) -> Column:
@@ -102,22 +128,26 @@ def http_date(text: Column) -> Column:
     return F.coalesce(*found, F.lit(0))
 
 
-def relative_date(text: Column, as_of: Column) -> Column:
-    """Epoch seconds of a profile's update time relative to ``as_of``; minutes and hours are cut to their start."""
+def relative_date(text: Column, as_of: Column, zone: str = "UTC") -> Column:
+    """Epoch seconds of a profile's update time, read in ``zone`` and relative to the instant ``as_of``.
+
+    Minutes and hours are cut to their start; null where no form fits.
+    """
     t = F.lower(F.trim(text))
+    now = F.from_utc_timestamp(as_of, zone)
     n = F.regexp_extract(t, r"^(\d+) ", 1).cast("int")
-    clock = F.regexp_extract(t, r"(\d{1,2}:\d\d [ap]m)$", 1)
-    day = lambda back: F.to_timestamp(F.concat_ws(" ", F.date_format(F.date_sub(as_of, back), "yyyy-MM-dd"), F.upper(clock)), "yyyy-MM-dd h:mm a")
-    at = lambda secs, unit: F.date_trunc(unit, F.timestamp_seconds(F.unix_timestamp(as_of) - secs))
-    with_year = F.try_to_timestamp(F.initcap(t), F.lit("MMM d, yyyy h:mm a"))
-    no_year = F.try_to_timestamp(F.concat(F.initcap(F.regexp_replace(t, ", .*", "")), F.lit(", "), F.year(as_of), F.lit(" "), F.upper(clock)), F.lit("MMM d, yyyy h:mm a"))
-    when = (
-        F.when(t.rlike(r"^\d+ seconds? ago$"), F.timestamp_seconds(F.unix_timestamp(as_of) - n))
-        .when(t.rlike(r"^\d+ minutes? ago$"), at(n * 60, "minute"))
-        .when(t.rlike(r"^\d+ hours? ago$"), at(n * 3600, "hour"))
-        .when(t.startswith("today, "), day(0))
-        .when(t.startswith("yesterday, "), day(1))
-        .when(t.rlike(r"^[a-z]{3} \d+, \d{4}"), with_year)
-        .when(t.rlike(r"^[a-z]{3} \d+, \d{1,2}:"), no_year)
+    ago = lambda secs, unit: F.unix_timestamp(F.date_trunc(unit, F.timestamp_seconds(F.unix_timestamp(as_of) - secs)))
+    epoch = lambda local: F.unix_timestamp(F.to_utc_timestamp(local, zone))
+    clock = F.upper(F.regexp_extract(t, r"(\d{1,2}:\d{1,2} [ap]m)$", 1))
+    on = lambda date: epoch(F.try_to_timestamp(F.concat_ws(" ", F.date_format(date, "yyyy-MM-dd"), clock), F.lit("yyyy-MM-dd h:m a")))
+    dated = lambda body: epoch(F.try_to_timestamp(F.initcap(body), F.lit("MMM d, yyyy h:m a")))
+    return (
+        F.when(t == "now", F.unix_timestamp(as_of))
+        .when(t.rlike(r"^\d+ seconds? ago$"), F.unix_timestamp(as_of) - n)
+        .when(t.rlike(r"^\d+ minutes? ago$"), ago(n * 60, "minute"))
+        .when(t.rlike(r"^\d+ hours? ago$"), ago(n * 3600, "hour"))
+        .when(t.startswith("today, "), on(F.to_date(now)))
+        .when(t.startswith("yesterday, "), on(F.date_sub(F.to_date(now), 1)))
+        .when(t.rlike(r"^[a-z]{3} \d+, \d{4} "), dated(t))
+        .when(t.rlike(r"^[a-z]{3} \d+, \d{1,2}:"), dated(F.concat(F.regexp_replace(t, ", .*", ", "), F.year(now).cast("string"), F.lit(" "), F.lower(clock))))
     )
-    return F.unix_timestamp(when)

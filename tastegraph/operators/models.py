@@ -1,7 +1,9 @@
 """Item-item models and the recommenders that use them.
 
-Self-joins pair a user's items only within that user, so their cost is the sum of squared
-list lengths, which the activity window bounds. Scores are positive, the best first.
+Item models pair a user's items only within that user, each unordered pair once; their cost is
+the sum of squared list lengths, which stays bounded where the ratings are those of ``active``
+users. Scores are positive, the best first. ``by`` names the columns that tell lists apart:
+users, or held-out cases of users.
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tastegraph.functions.scores import SCALE, similar_activity, user_stats
-from tastegraph.operators.views import COMPLETED, PLANNED, known
+from tastegraph.functions.scores import SCALE, similar_activity
+from tastegraph.operators.views import COMPLETED, PLANNED, WATCHING, finished, known, old
 
 #: Decimals at which float sums are compared, so that their order of addition does not decide a rank.
 DIGITS = 9
@@ -35,6 +37,22 @@ def one_per_group(neighbours: DataFrame, groups: DataFrame) -> DataFrame:
     return kept.where(F.col("g").isNull() | (F.col("seen") == 1)).select("item_id", "rk", "similar_id", "score")
 
 
+def active(stats: DataFrame, users: DataFrame) -> DataFrame:
+    """``user_id`` of users with a name whose number of finished items lies between 5 and 500."""
+    return stats.where("completed > 5 and completed < 500").join(users.where("username <> ''").select("user_id"), "user_id", "left_semi").select("user_id")
+
+
+def test_users(stats: DataFrame, users: DataFrame, sample: DataFrame, n: int) -> DataFrame:
+    """``n`` users with a name, 11 to 99 finished items and no place in the ``sample`` that models are built on; least ids first."""
+    fit = stats.where("completed > 10 and completed < 100").join(users.where("username <> ''").select("user_id", "username"), "user_id").join(sample.select("user_id"), "user_id", "left_anti")
+    return fit.select("user_id", "username", "completed").orderBy("user_id").limit(n)
+
+
+def mirrored(pairs: DataFrame, *values: str) -> DataFrame:
+    """Both directions of unordered pairs ``(item_id, similar_id)``."""
+    return pairs.select("item_id", "similar_id", *values).unionByName(pairs.select(F.col("similar_id").alias("item_id"), F.col("item_id").alias("similar_id"), *values))
+
+
 def co_occurrence(scored: DataFrame, groups: DataFrame, candidates: DataFrame | None = None, threshold: float = 0.3, alpha: float = 0.7, k: int = 30) -> DataFrame:
     """``item_id, rk, similar_id, score``: items liked by the same users, weighted against popular ones.
 
@@ -44,8 +62,9 @@ def co_occurrence(scored: DataFrame, groups: DataFrame, candidates: DataFrame |
     weight = liked.groupBy("user_id").agg((1 / F.sqrt(F.count(F.lit(1)))).alias("w"))
     often = liked.groupBy("item_id").agg(F.count(F.lit(1)).alias("f"))
     right = (liked if candidates is None else candidates).select("user_id", F.col("item_id").alias("similar_id"))
-    pairs = liked.join(weight, "user_id").join(right, "user_id").where("item_id <> similar_id")
+    pairs = liked.join(weight, "user_id").join(right, "user_id").where("item_id < similar_id" if candidates is None else "item_id <> similar_id")
     raw = pairs.groupBy("item_id", "similar_id").agg(F.sum("w").alias("raw"))
+    raw = mirrored(raw, "raw") if candidates is None else raw
     both = raw.join(often, "item_id").join(often.select(F.col("item_id").alias("similar_id"), F.col("f").alias("g")), "similar_id", "left")
     score = F.when(F.col("g").isNull(), F.col("raw")).otherwise(F.col("raw") / (F.col("f") * F.pow("g", F.lit(alpha))))
     return one_per_group(top_k(both.select("item_id", "similar_id", F.round(score, DIGITS).alias("score")), "item_id", "score", "similar_id", k), groups)
@@ -56,36 +75,39 @@ def item_cosine(scored: DataFrame, k: int = 30, groups: DataFrame | None = None)
     rows = scored.where("q <> 0").select("user_id", "item_id", "q")
     norm = rows.groupBy("item_id").agg(F.sum(F.col("q").cast("long") * F.col("q")).alias("nn"))
     other = rows.select("user_id", F.col("item_id").alias("similar_id"), F.col("q").alias("q2"))
-    dots = rows.join(other, "user_id").where("item_id <> similar_id").groupBy("item_id", "similar_id").agg(F.sum(F.col("q").cast("long") * F.col("q2")).alias("dot"))
+    dots = mirrored(rows.join(other, "user_id").where("item_id < similar_id").groupBy("item_id", "similar_id").agg(F.sum(F.col("q").cast("long") * F.col("q2")).alias("dot")), "dot")
     both = dots.join(norm, "item_id").join(norm.select(F.col("item_id").alias("similar_id"), F.col("nn").alias("mm")), "similar_id")
     near = top_k(both.select("item_id", "similar_id", F.round(F.col("dot") / F.sqrt(F.col("nn").cast("double") * F.col("mm")), DIGITS).alias("score")), "item_id", "score", "similar_id", k)
     return near.select("item_id", "rk", "similar_id", "score") if groups is None else one_per_group(near, groups)
 
 
-def user_cosine(scored: DataFrame, stats: DataFrame, targets: DataFrame, k: int = 100) -> DataFrame:
-    """``user_id, rk, other_id, score``: the nearest users of each target, by cosine over finished and dropped items."""
-    rows = scored.select("user_id", "item_id", "q")
-    norm = rows.groupBy("user_id").agg(F.sum(F.col("q").cast("long") * F.col("q")).alias("nn"))
-    base = norm.where("nn > 0").join(stats.select("user_id", "completed"), "user_id")
-    mine, other = (base.select(F.col("user_id").alias(a), F.col("nn").alias(b), F.col("completed").alias(c)) for a, b, c in (("user_id", "nn", "ca"), ("other_id", "mm", "cb")))
-    left = rows.join(targets.select("user_id"), "user_id", "left_semi")
-    dots = left.join(rows.select(F.col("user_id").alias("other_id"), "item_id", F.col("q").alias("q2")), "item_id").where("user_id <> other_id")
-    dots = dots.groupBy("user_id", "other_id").agg(F.sum(F.col("q").cast("long") * F.col("q2")).alias("dot"))
-    both = dots.join(mine, "user_id").join(other, "other_id").where(similar_activity(F.col("ca"), F.col("cb")))
+def _rated_pairs(scored: DataFrame, stats: DataFrame, targets: DataFrame | None) -> DataFrame:
+    """``user_id, other_id, q, q2`` for each item that two users of like activity both finished or dropped."""
+    rows = scored.select("user_id", "item_id", "q").join(stats.select("user_id", "completed"), "user_id")
+    left = rows if targets is None else rows.join(targets.select("user_id"), "user_id", "left_semi")
+    other = rows.select(F.col("user_id").alias("other_id"), "item_id", F.col("q").alias("q2"), F.col("completed").alias("cb"))
+    met = left.join(other, "item_id").where((F.col("user_id") != F.col("other_id")) & similar_activity(F.col("completed"), F.col("cb")))
+    return met.select("user_id", "other_id", F.col("q").cast("long").alias("q"), F.col("q2").cast("long").alias("q2"))
+
+
+def user_cosine(scored: DataFrame, stats: DataFrame, targets: DataFrame | None = None, k: int = 100) -> DataFrame:
+    """``user_id, rk, other_id, score``: the nearest users of each target (everyone, if None), by cosine over finished and dropped items.
+
+    Pairs of unlike activity are left out before anything is summed.
+    """
+    norm = scored.groupBy("user_id").agg(F.sum(F.col("q").cast("long") * F.col("q")).alias("nn")).where("nn > 0")
+    dots = _rated_pairs(scored, stats, targets).groupBy("user_id", "other_id").agg(F.sum(F.col("q") * F.col("q2")).alias("dot"))
+    both = dots.join(norm, "user_id").join(norm.select(F.col("user_id").alias("other_id"), F.col("nn").alias("mm")), "other_id")
     score = F.round(F.col("dot") / F.sqrt(F.col("nn").cast("double") * F.col("mm")), DIGITS)
     return top_k(both.select("user_id", "other_id", score.alias("score")), "user_id", "score", "other_id", k).select("user_id", "rk", "other_id", "score")
 
 
-def user_pearson(scored: DataFrame, stats: DataFrame, targets: DataFrame, min_common: int = 20, k: int = 100) -> DataFrame:
+def user_pearson(scored: DataFrame, stats: DataFrame, targets: DataFrame | None = None, min_common: int = 20, k: int = 100) -> DataFrame:
     """As user_cosine, with norms over the common items; both lists must share ``min_common`` percent."""
-    rows = scored.select("user_id", "item_id", "q")
-    size = rows.groupBy("user_id").count().join(stats.select("user_id", "completed"), "user_id")
-    mine, other = (size.select(F.col("user_id").alias(a), F.col("count").alias(b), F.col("completed").alias(c)) for a, b, c in (("user_id", "la", "ca"), ("other_id", "lb", "cb")))
-    left = rows.join(targets.select("user_id"), "user_id", "left_semi")
-    pair = left.join(rows.select(F.col("user_id").alias("other_id"), "item_id", F.col("q").alias("q2")), "item_id").where("user_id <> other_id")
-    x, y = F.col("q").cast("long"), F.col("q2").cast("long")
-    sums = pair.groupBy("user_id", "other_id").agg(F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
-    both = sums.join(mine, "user_id").join(other, "other_id").where(similar_activity(F.col("ca"), F.col("cb")) & (F.col("xx") > 0) & (F.col("yy") > 0))
+    size = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("la"))
+    x, y = F.col("q"), F.col("q2")
+    sums = _rated_pairs(scored, stats, targets).groupBy("user_id", "other_id").agg(F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    both = sums.where("xx > 0 and yy > 0").join(size, "user_id").join(size.select(F.col("user_id").alias("other_id"), F.col("la").alias("lb")), "other_id")
     both = both.where((F.floor(100 * F.col("n") / F.col("la")) >= min_common) & (F.floor(100 * F.col("n") / F.col("lb")) >= min_common))
     score = F.round(F.col("xy") / F.sqrt(F.col("xx").cast("double") * F.col("yy")), DIGITS)
     return top_k(both.select("user_id", "other_id", score.alias("score")), "user_id", "score", "other_id", k).select("user_id", "rk", "other_id", "score")
@@ -102,35 +124,60 @@ def recommend_from_users(neighbours: DataFrame, scored: DataFrame, ratings: Data
     found = neighbours.join(liked, "other_id").join(known(ratings), ["user_id", "item_id"], "left_anti")
     if restricted is not None:
         found = found.join(restricted.select("item_id"), "item_id", "left_anti")
-    best = found.groupBy("user_id", "item_id").agg(F.max(F.round(worth, DIGITS)).alias("score"))
+    best = found.groupBy("user_id", "item_id").agg(F.max(F.round(worth, DIGITS) + 0.0).alias("score"))  # no negative zero
     return top_k(best, "user_id", "score", "item_id", k).select("user_id", "rk", "item_id", "score")
 
 
-def recommend_in_progress(neighbours: DataFrame, ratings: DataFrame, in_progress: DataFrame, k: int = 100) -> DataFrame:
-    """Items in progress that nearest users are watching, by the sum of the users' scores."""
-    watching = ratings.where("status = 1").join(in_progress.select("item_id"), "item_id", "left_semi").select(F.col("user_id").alias("other_id"), "item_id")
+def recommend_in_progress(neighbours: DataFrame, ratings: DataFrame, items: DataFrame, as_of: int, k: int = 100) -> DataFrame:
+    """Items that nearest users are watching, by the sum of the users' scores, less those known to the target, restricted, finished or old.
+
+    An item that the catalogue lacks stays.
+    """
+    drop = items.where(F.col("restricted") | finished(as_of) | old(as_of)).select("item_id")
+    watching = ratings.where(F.col("status") == WATCHING).join(drop, "item_id", "left_anti").select(F.col("user_id").alias("other_id"), "item_id")
     found = neighbours.join(watching, "other_id").join(known(ratings), ["user_id", "item_id"], "left_anti")
     total = found.groupBy("user_id", "item_id").agg(F.round(F.sum("score"), 6).alias("score"))
     return top_k(total, "user_id", "score", "item_id", k).select("user_id", "rk", "item_id", "score")
 
 
-def recommend_from_items(scored: DataFrame, ratings: DataFrame, model: DataFrame, targets: DataFrame, likes: int = 20, k: int = 100) -> DataFrame:
-    """Votes of each target's ``likes`` best items for their neighbours in ``model``, summed in whole billionths."""
-    best = top_k(scored.join(targets.select("user_id"), "user_id", "left_semi").select("user_id", "item_id", "q"), "user_id", "q", "item_id", likes, "place")
-    votes = best.join(model.select("item_id", "similar_id", "score"), "item_id").groupBy("user_id", F.col("similar_id")).agg((F.sum(F.round(F.col("score") * 1e9).cast("long") * F.col("q")) / (SCALE * 1e9)).alias("score"))
-    new = votes.withColumnRenamed("similar_id", "item_id").join(known(ratings), ["user_id", "item_id"], "left_anti")
-    return top_k(new, "user_id", "score", "item_id", k).select("user_id", "rk", "item_id", "score")
+def liked_best(scored: DataFrame, likes: int = 20, by: tuple[str, ...] = ("user_id",), seed: int | None = None) -> DataFrame:
+    """``by, item_id, q`` of each list's ``likes`` best items; with a ``seed``, a drawn half to all of them."""
+    best = top_k(scored.select(*by, "item_id", "q"), list(by), "q", "item_id", likes, "place")
+    if seed is None:
+        return best
+    drawn = F.row_number().over(W.partitionBy(*by).orderBy(F.xxhash64(*by, "item_id", F.lit(seed)), "item_id"))
+    return best.withColumn("_draw", drawn).where(F.col("_draw") <= likes // 2 + F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(likes // 2 + 1))).drop("_draw")
+
+
+def recommend_from_items(
+    scored: DataFrame, ratings: DataFrame, model: DataFrame, restricted: DataFrame | None = None, likes: int = 20, k: int = 100, by: tuple[str, ...] = ("user_id",), seed: int | None = None
+) -> DataFrame:
+    """Votes of each list's ``likes`` best items for their neighbours in ``model``, summed in whole billionths; known and ``restricted`` items are left out."""
+    best = liked_best(scored, likes, by, seed)
+    votes = best.join(model.select("item_id", "similar_id", "score"), "item_id").groupBy(*by, "similar_id").agg((F.sum(F.round(F.col("score") * 1e9).cast("long") * F.col("q")) / (SCALE * 1e9)).alias("score"))
+    new = votes.withColumnRenamed("similar_id", "item_id").join(known(ratings, by), [*by, "item_id"], "left_anti")
+    if restricted is not None:
+        new = new.join(restricted.select("item_id"), "item_id", "left_anti")
+    return top_k(new, list(by), "score", "item_id", k).select(*by, "rk", "item_id", "score")
+
+
+def similar_items(done: DataFrame, now: DataFrame, shown: DataFrame, n_done: int = 15, n_now: int = 5) -> DataFrame:
+    """``item_id, kind, rk, similar_id, score``: the best neighbours of each shown item in the two models, and of those the ones that may be shown."""
+    first = done.where(F.col("rk") <= n_done).withColumn("kind", F.lit("finished")).unionByName(now.where(F.col("rk") <= n_now).withColumn("kind", F.lit("in progress")))
+    ids = shown.select("item_id")
+    fit = first.join(ids, "item_id", "left_semi").join(ids.withColumnRenamed("item_id", "similar_id"), "similar_id", "left_semi")
+    return fit.select("item_id", "kind", "rk", "similar_id", "score")
 
 
-def tagged(recommended: DataFrame, ratings: DataFrame, groups: DataFrame) -> DataFrame:
+def tagged(recommended: DataFrame, ratings: DataFrame, groups: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """``tag`` for each row: planned items, items of known or planned groups, and repeats of a group in the list."""
     g = groups.select("item_id", "group_id")
     with_group = ratings.join(g, "item_id")
-    plan = ratings.where(F.col("status") == PLANNED).select("user_id", "item_id", F.lit(True).alias("planned"))
-    known_groups = with_group.where(F.col("status") != PLANNED).select("user_id", "group_id").distinct().withColumn("kg", F.lit(True))
-    plan_groups = with_group.where(F.col("status") == PLANNED).select("user_id", "group_id").distinct().withColumn("pg", F.lit(True))
-    rows = recommended.join(g, "item_id", "left").join(plan, ["user_id", "item_id"], "left").join(known_groups, ["user_id", "group_id"], "left").join(plan_groups, ["user_id", "group_id"], "left")
-    again = F.col("group_id").isNotNull() & (F.row_number().over(W.partitionBy("user_id", "group_id").orderBy("rk")) > 1)
+    plan = ratings.where(F.col("status") == PLANNED).select(*by, "item_id", F.lit(True).alias("planned"))
+    known_groups = with_group.where(F.col("status") != PLANNED).select(*by, "group_id").distinct().withColumn("kg", F.lit(True))
+    plan_groups = with_group.where(F.col("status") == PLANNED).select(*by, "group_id").distinct().withColumn("pg", F.lit(True))
+    rows = recommended.join(g, "item_id", "left").join(plan, [*by, "item_id"], "left").join(known_groups, [*by, "group_id"], "left").join(plan_groups, [*by, "group_id"], "left")
+    again = F.col("group_id").isNotNull() & (F.row_number().over(W.partitionBy(*by, "group_id").orderBy("rk")) > 1)
     tag = (
         F.when(F.col("planned") & F.col("kg"), "planned-and-group")
         .when(F.col("planned"), "planned")
@@ -138,10 +185,23 @@ def tagged(recommended: DataFrame, ratings: DataFrame, groups: DataFrame) -> Dat
         .when(F.col("pg"), "planned-group")
         .when(again, "same-group")
     )
-    return rows.select("user_id", "rk", "item_id", "score", tag.alias("tag"))
+    return rows.select(*by, "rk", "item_id", "score", tag.alias("tag"))
+
+
+def client_view(tagged_rows: DataFrame, included: tuple[str, ...] = ("planned",), local: DataFrame | None = None, blocked: tuple[int, ...] = ()) -> DataFrame:
+    """Rows without a tag or with an ``included`` one, less items of the client's own list ``(user_id, item_id)`` and ``blocked`` ids."""
+    rows = tagged_rows.where(F.col("tag").isNull() | F.col("tag").isin(*included))
+    if local is not None:
+        rows = rows.join(local.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    return rows.where(~F.col("item_id").isin(*blocked)) if blocked else rows
+
+
+def in_catalogue(lists: DataFrame, shown: DataFrame, statuses: tuple[int, ...] | None = None) -> DataFrame:
+    """Ratings of items that may be shown, of the given ``statuses`` where there are any."""
+    kept = lists.join(shown.select("item_id"), "item_id", "left_semi")
+    return kept if statuses is None else kept.where(F.col("status").isin(*statuses))
 
 
-def without(ratings: DataFrame, held: DataFrame, by: tuple[str, ...] = ("user_id",)) -> tuple[DataFrame, DataFrame]:
-    """Ratings less the ``held`` (user, item) pairs, and the statistics of what is left."""
-    rest = ratings.join(held.select(*by, "item_id"), [*by, "item_id"], "left_anti")
-    return rest, user_stats(rest, by)
+def without(ratings: DataFrame, held: DataFrame, by: tuple[str, ...] = ("user_id",)) -> DataFrame:
+    """Ratings less the ``held`` items of each list; statistics are to be taken of what is left."""
+    return ratings.join(held.select(*by, "item_id"), [*by, "item_id"], "left_anti")

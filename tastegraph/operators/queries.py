@@ -2,117 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph.functions import scores as S
 from tastegraph.operators import evaluate, factors, models, search
 from tastegraph.operators import views as V
-from tastegraph.operators.views import ITEMS_SQL, RATINGS_SQL
+from tastegraph.operators.registry import (
+    AIRING_MODEL_SQL, BASE_SQL, COOC_SQL, MODEL_SQL, NEAR_SQL, ORACLE, QUERIES, QUEUE_SQL, RECS_SQL, SIMILAR_SQL, TAG_SQL, VOTES_SQL, Views, model_sql, query, scored_sql, stats_sql, tag_sql, votes_sql,
+)
+from tastegraph.operators.views import AS_OF, ITEMS_SQL, TITLES_SQL
 from tastegraph.plans.components import connected_components
 from tastegraph.streaming import refresh
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-STATS_SQL = """stats AS (SELECT user_id, n, least, completed, dropped, CASE WHEN n=0 THEN 0.0::DOUBLE ELSE s::DOUBLE/n END AS mean,
-  CASE WHEN n*ss-s*s=0 THEN 1.0::DOUBLE ELSE sqrt((n*ss-s*s)::DOUBLE)/n END AS dev FROM (
-  SELECT user_id, count(*) FILTER (ok) AS n, coalesce(sum(rating) FILTER (ok),0)::BIGINT AS s, coalesce(sum(rating*rating) FILTER (ok),0)::BIGINT AS ss,
-  coalesce(min(rating) FILTER (ok),0)::BIGINT AS least, count(*) FILTER (status=2) AS completed, count(*) FILTER (status=4) AS dropped
-  FROM (SELECT *, status IN (2,4) AND rating<>0 AS ok FROM ratings) GROUP BY user_id))"""
-SCORED_SQL = """scored AS (SELECT *, greatest(-128, least(127, trunc(norm*32)))::INT AS q FROM (
-  SELECT r.*, CASE WHEN rating>0 THEN (rating-mean+0.0::DOUBLE)/dev WHEN status=2 THEN 0.0::DOUBLE/dev ELSE (least+0.0::DOUBLE-mean)/dev END AS norm FROM ratings r JOIN stats USING (user_id) WHERE status IN (2,4)))"""
-BASE_SQL = f"WITH {RATINGS_SQL}, {STATS_SQL}, {SCORED_SQL}, {ITEMS_SQL}"
-COOC_SQL = """liked AS (SELECT user_id, item_id FROM scored WHERE q>=10), wt AS (SELECT user_id, 1/sqrt(count(*)::DOUBLE) AS w FROM liked GROUP BY 1), often AS (SELECT item_id, count(*) AS f FROM liked GROUP BY 1)"""
-
-
-def _model_sql(name: str, raw: str, k: int) -> str:
-    return f"""{name}_raw AS ({raw}), {name}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, similar_id) AS rk FROM {name}_raw) WHERE rk<={k}),
-{name} AS (SELECT item_id, rk::INT AS rk, similar_id, score FROM (SELECT t.*, row_number() OVER (PARTITION BY t.item_id, b.group_id ORDER BY rk) AS seen FROM {name}_top t
-  JOIN items a ON a.item_id=t.item_id JOIN items b ON b.item_id=t.similar_id WHERE a.group_id<>b.group_id) WHERE seen=1)"""
-
-
-COOC_MODEL_SQL = _model_sql("cooc", "SELECT item_id, similar_id, round(raw/(a.f*pow(b.f::DOUBLE,0.7::DOUBLE)),9) AS score FROM (SELECT x.item_id, y.item_id AS similar_id, sum(w) AS raw FROM liked x JOIN liked y USING (user_id) JOIN wt USING (user_id) WHERE x.item_id<>y.item_id GROUP BY 1,2) p JOIN often a USING (item_id) JOIN often b ON b.item_id=similar_id", 30)
-TARGETS_SQL = "targets AS (SELECT user_id FROM stats WHERE completed>10 AND user_id%20=0)"
-COSINE_SQL = f"""{TARGETS_SQL}, nn AS (SELECT user_id, sum(q::BIGINT*q)::BIGINT AS n2 FROM scored GROUP BY 1), near AS (SELECT user_id, rk, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, other_id)::INT AS rk FROM (
-  SELECT d.user_id, d.other_id, round(dot/sqrt(a.n2::DOUBLE*b.n2),9) AS score FROM (SELECT x.user_id, y.user_id AS other_id, sum(x.q::BIGINT*y.q)::BIGINT AS dot FROM scored x JOIN targets USING (user_id) JOIN scored y ON x.item_id=y.item_id AND x.user_id<>y.user_id GROUP BY 1,2) d
-  JOIN nn a ON a.user_id=d.user_id AND a.n2>0 JOIN nn b ON b.user_id=d.other_id AND b.n2>0 JOIN stats sa ON sa.user_id=d.user_id JOIN stats sb ON sb.user_id=d.other_id
-  WHERE CASE WHEN least(sa.completed,sb.completed)=0 THEN false WHEN least(sa.completed,sb.completed)<5 AND greatest(sa.completed,sb.completed)<10 THEN true ELSE greatest(sa.completed,sb.completed)<2*least(sa.completed,sb.completed) END)) WHERE rk<=100)"""
-RECOMMEND_SQL = """recs AS (SELECT user_id, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rk FROM (
-  SELECT n.user_id, s.item_id, max(round(CASE WHEN norm>=0 THEN norm*n.score ELSE -0.5::DOUBLE END,9)) AS score FROM near n JOIN scored s ON s.user_id=n.other_id AND s.status=2
-  WHERE NOT EXISTS (SELECT 1 FROM ratings k WHERE k.user_id=n.user_id AND k.item_id=s.item_id AND k.status<>6) AND s.item_id NOT IN (SELECT item_id FROM items WHERE restricted) GROUP BY 1,2)) WHERE rk<=100)"""
-TAG_SQL = """tagged AS (SELECT user_id, rk, item_id, score, CASE WHEN pl AND kg THEN 'planned-and-group' WHEN pl THEN 'planned' WHEN kg THEN 'group' WHEN pg THEN 'planned-group' WHEN again>1 THEN 'same-group' END AS tag FROM (
-  SELECT r.*, EXISTS (SELECT 1 FROM ratings p WHERE p.user_id=r.user_id AND p.item_id=r.item_id AND p.status=6) AS pl,
-  EXISTS (SELECT 1 FROM ratings p JOIN items g ON g.item_id=p.item_id WHERE p.user_id=r.user_id AND g.group_id=i.group_id AND p.status<>6) AS kg,
-  EXISTS (SELECT 1 FROM ratings p JOIN items g ON g.item_id=p.item_id WHERE p.user_id=r.user_id AND g.group_id=i.group_id AND p.status=6) AS pg,
-  row_number() OVER (PARTITION BY r.user_id, i.group_id ORDER BY r.rk) AS again FROM recs r JOIN items i USING (item_id)))"""
-NEAR_SQL = f"{BASE_SQL}, {COSINE_SQL}"
-RECS_SQL = f"{NEAR_SQL}, {RECOMMEND_SQL}"
-VOTES_SQL = f"""{BASE_SQL}, {COOC_SQL}, {COOC_MODEL_SQL}, {TARGETS_SQL}, best AS (SELECT * FROM (SELECT s.user_id, s.item_id, q, row_number() OVER (PARTITION BY s.user_id ORDER BY q DESC, s.item_id) AS place FROM scored s JOIN targets USING (user_id)) WHERE place<=20),
-recs AS (SELECT user_id, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rk FROM (SELECT b.user_id, m.similar_id AS item_id, (sum(round(m.score*1e9)::BIGINT*q)::BIGINT)::DOUBLE/32e9::DOUBLE AS score FROM best b JOIN cooc m USING (item_id) GROUP BY 1,2) v
-  WHERE NOT EXISTS (SELECT 1 FROM ratings k WHERE k.user_id=v.user_id AND k.item_id=v.item_id AND k.status<>6)) WHERE rk<=100)"""
-
-
-class Views:
-    """Lazily built frames that the queries share."""
-
-    def __init__(self, spark: SparkSession, d: str):
-        self.spark, self.d = spark, d
-        self.ratings, self.items = V.ratings(spark, d), V.items(spark, d)
-        self.stats = S.user_stats(self.ratings)
-        self.scored = S.scored(self.ratings)
-        self.targets = self.stats.where("completed > 10 and user_id % 20 = 0")
-
-    def t(self, name: str) -> DataFrame:
-        return V.table(self.spark, self.d, name)
-
-    def near(self) -> DataFrame:
-        return models.user_cosine(self.scored, self.stats, self.targets)
-
-    def model(self) -> DataFrame:
-        return models.co_occurrence(self.scored, self.items)
-
-    def recs(self) -> DataFrame:
-        return models.recommend_from_users(self.near(), self.scored, self.ratings, self.items.where("restricted"))
-
-    def votes(self) -> DataFrame:
-        return models.recommend_from_items(self.scored, self.ratings, self.model(), self.targets)
-
-    def titles(self) -> DataFrame:
-        return self.items.select("item_id", F.lit(0).alias("title_id"), "title")
-
-    def queue(self) -> DataFrame:
-        e = self.t("events").select(F.concat(F.lit("u"), "user_id").alias("username"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"), "event_type")
-        first = e.groupBy("username").agg(F.min("ts").alias("insert_time"), F.count_if(F.col("event_type") == "error").cast("int").alias("attempts"), F.max("ts").alias("status_change"))
-        return first.select("username", "insert_time", (F.pmod(F.col("attempts"), F.lit(4))).cast("int").alias("status"), F.pmod(F.col("attempts"), F.lit(5)).alias("attempts"), "status_change")
-
-
-QUEUE_SQL = """WITH queue AS (SELECT username, insert_time, (e%4)::INT AS status, (e%5)::INT AS attempts, status_change FROM (SELECT 'u'||user_id AS username, min(floor(epoch(ts)))::BIGINT AS insert_time, count(*) FILTER (event_type='error') AS e, max(floor(epoch(ts)))::BIGINT AS status_change FROM events GROUP BY 1))"""
-
-
-def query(sql: str | None = None) -> Callable[[Callable[[Views], DataFrame]], Callable[[Views], DataFrame]]:
-    def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        QUERIES[f.__name__] = lambda spark, d: f(Views(spark, d))
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE", "QUERIES"]
 
-@query(f"{BASE_SQL}, {COOC_SQL}, {COOC_MODEL_SQL} SELECT * FROM cooc")
+@query(f"{MODEL_SQL} SELECT * FROM cooc")
 def co_occurrence(v: Views) -> DataFrame:
     return v.model()
 
 
-@query(f"{BASE_SQL}, {COOC_SQL}, " + _model_sql("air", "SELECT p.item_id, similar_id, round(CASE WHEN b.f IS NULL THEN raw ELSE raw/(a.f*pow(b.f::DOUBLE,0.7::DOUBLE)) END,9) AS score FROM (SELECT x.item_id, y.item_id AS similar_id, sum(w) AS raw FROM liked x JOIN (SELECT user_id, item_id FROM ratings JOIN items i USING (item_id) WHERE ratings.status=1 AND i.status=1) y USING (user_id) JOIN wt USING (user_id) WHERE x.item_id<>y.item_id GROUP BY 1,2) p JOIN often a ON a.item_id=p.item_id LEFT JOIN often b ON b.item_id=similar_id", 15) + " SELECT * FROM air")
+@query(f"{BASE_SQL}, {COOC_SQL}, {AIRING_MODEL_SQL} SELECT * FROM air")
 def co_occurrence_in_progress(v: Views) -> DataFrame:
-    now = v.items.where(F.col("status") == V.IN_PROGRESS).select("item_id")
-    return models.co_occurrence(v.scored, v.items, v.ratings.where("status = 1").join(now, "item_id", "left_semi").select("user_id", "item_id"), k=15)
+    return v.model_in_progress()
 
 
 @query(f"{BASE_SQL} SELECT user_id, status, rating, item_id, q, round(norm,6) AS norm FROM scored")
@@ -135,12 +47,12 @@ def user_cosine(v: Views) -> DataFrame:
     return v.near()
 
 
-@query(f"""{BASE_SQL}, {TARGETS_SQL}, size AS (SELECT user_id, count(*) AS l FROM scored GROUP BY 1) SELECT user_id, rk, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, other_id)::INT AS rk FROM (
-  SELECT d.user_id, d.other_id, round(xy/sqrt(xx::DOUBLE*yy),9) AS score FROM (SELECT x.user_id, y.user_id AS other_id, count(*) AS n, sum(x.q::BIGINT*y.q)::BIGINT AS xy, sum(x.q::BIGINT*x.q)::BIGINT AS xx, sum(y.q::BIGINT*y.q)::BIGINT AS yy FROM scored x JOIN targets USING (user_id) JOIN scored y ON x.item_id=y.item_id AND x.user_id<>y.user_id GROUP BY 1,2) d
+@query(f"""{BASE_SQL}, size AS (SELECT user_id, count(*) AS l FROM scored GROUP BY 1) SELECT user_id, rk, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, other_id)::INT AS rk FROM (
+  SELECT d.user_id, d.other_id, round(xy/sqrt(xx::DOUBLE*yy),9) AS score FROM (SELECT x.user_id, y.user_id AS other_id, count(*) AS n, sum(x.q::BIGINT*y.q)::BIGINT AS xy, sum(x.q::BIGINT*x.q)::BIGINT AS xx, sum(y.q::BIGINT*y.q)::BIGINT AS yy FROM scored x JOIN scored y ON x.item_id=y.item_id AND x.user_id<>y.user_id GROUP BY 1,2) d
   JOIN size a ON a.user_id=d.user_id JOIN size b ON b.user_id=d.other_id JOIN stats sa ON sa.user_id=d.user_id JOIN stats sb ON sb.user_id=d.other_id
-  WHERE xx>0 AND yy>0 AND (100*d.n)//a.l>=5 AND (100*d.n)//b.l>=5 AND CASE WHEN least(sa.completed,sb.completed)=0 THEN false WHEN least(sa.completed,sb.completed)<5 AND greatest(sa.completed,sb.completed)<10 THEN true ELSE greatest(sa.completed,sb.completed)<2*least(sa.completed,sb.completed) END)) WHERE rk<=100""")
+  WHERE xx>0 AND yy>0 AND (100*d.n)//a.l>=5 AND (100*d.n)//b.l>=5 AND {SIMILAR_SQL})) WHERE rk<=100""")
 def user_pearson(v: Views) -> DataFrame:
-    return models.user_pearson(v.scored, v.stats, v.targets, min_common=5)
+    return models.user_pearson(v.scored, v.stats, min_common=5)
 
 
 @query(f"{RECS_SQL} SELECT * FROM recs")
@@ -148,9 +60,11 @@ def recommend_from_users(v: Views) -> DataFrame:
     return v.recs()
 
 
-@query(f"{NEAR_SQL} SELECT user_id, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rk FROM (SELECT n.user_id, r.item_id, round(sum(score),6) AS score FROM near n JOIN ratings r ON r.user_id=n.other_id AND r.status=1 JOIN items i ON i.item_id=r.item_id AND i.status=1 WHERE NOT EXISTS (SELECT 1 FROM ratings k WHERE k.user_id=n.user_id AND k.item_id=r.item_id AND k.status<>6) GROUP BY 1,2)) WHERE rk<=100")
+@query(f"""{NEAR_SQL} SELECT user_id, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id)::INT AS rk FROM (SELECT n.user_id, r.item_id, round(sum(score),6) AS score FROM near n JOIN ratings r ON r.user_id=n.other_id AND r.status=1
+  LEFT JOIN items i ON i.item_id=r.item_id LEFT JOIN (SELECT user_id, item_id FROM ratings WHERE status<>6) k ON k.user_id=n.user_id AND k.item_id=r.item_id
+  WHERE k.item_id IS NULL AND NOT coalesce(i.restricted OR i.status=2 OR (i.status=1 AND coalesce(end_at,0)>={AS_OF}) OR {AS_OF}-coalesce(start_at,0)>365*86400, false) GROUP BY 1,2)) WHERE rk<=100""")
 def recommend_in_progress(v: Views) -> DataFrame:
-    return models.recommend_in_progress(v.near(), v.ratings, v.items.where(F.col("status") == V.IN_PROGRESS))
+    return models.recommend_in_progress(v.near(), v.ratings, v.items, AS_OF)
 
 
 @query(f"{VOTES_SQL} SELECT * FROM recs")
@@ -169,9 +83,9 @@ def rendered_recommendations(v: Views) -> DataFrame:
     return shown.join(v.items.select("item_id", "title", "genre"), "item_id").select("user_id", "rk", "title", "genre", "tag")
 
 
-@query(f"{BASE_SQL}, " + _model_sql("ic", "SELECT d.item_id, d.similar_id, round(dot/sqrt(a.n::DOUBLE*b.n),9) AS score FROM (SELECT x.item_id, y.item_id AS similar_id, sum(x.q::BIGINT*y.q)::BIGINT AS dot FROM scored x JOIN scored y ON x.user_id=y.user_id AND x.item_id<>y.item_id WHERE x.q<>0 AND y.q<>0 GROUP BY 1,2) d JOIN (SELECT item_id, sum(q::BIGINT*q)::BIGINT AS n FROM scored WHERE q<>0 GROUP BY 1) a USING (item_id) JOIN (SELECT item_id, sum(q::BIGINT*q)::BIGINT AS n FROM scored WHERE q<>0 GROUP BY 1) b ON b.item_id=d.similar_id", 30) + " SELECT * FROM ic")
+@query(f"{BASE_SQL}, " + model_sql("ic", "SELECT d.item_id, d.similar_id, round(dot/sqrt(a.n::DOUBLE*b.n),9) AS score FROM (SELECT x.item_id, y.item_id AS similar_id, sum(x.q::BIGINT*y.q)::BIGINT AS dot FROM fit x JOIN fit y ON x.user_id=y.user_id AND x.item_id<>y.item_id WHERE x.q<>0 AND y.q<>0 GROUP BY 1,2) d JOIN (SELECT item_id, sum(q::BIGINT*q)::BIGINT AS n FROM fit WHERE q<>0 GROUP BY 1) a USING (item_id) JOIN (SELECT item_id, sum(q::BIGINT*q)::BIGINT AS n FROM fit WHERE q<>0 GROUP BY 1) b ON b.item_id=d.similar_id", 30) + " SELECT * FROM ic")
 def item_cosine(v: Views) -> DataFrame:
-    return models.item_cosine(v.scored, groups=v.items)
+    return models.item_cosine(v.fit(), groups=v.items)
 
 
 @query("WITH t AS (SELECT p_partkey AS a, lag(p_partkey) OVER (PARTITION BY p_name,p_brand ORDER BY p_partkey) AS l, lead(p_partkey) OVER (PARTITION BY p_name,p_brand ORDER BY p_partkey) AS n, min(p_partkey) OVER (PARTITION BY p_name,p_brand) AS m FROM part) SELECT a AS node, m AS component FROM t WHERE l IS NOT NULL OR n IS NOT NULL")
@@ -179,9 +93,10 @@ def item_groups(v: Views) -> DataFrame:
     return connected_components(V.edges(v.spark, v.d))
 
 
-@query(f"{RECS_SQL}, {TAG_SQL} SELECT planned, total, round(planned/total,6) AS share FROM (SELECT count(*) FILTER (tag IN ('planned','planned-group')) AS planned, count(*) AS total FROM tagged WHERE rk<=40)")
+@query(f"{RECS_SQL}, {TAG_SQL} SELECT planned, total, round(planned/total,6) AS share FROM (SELECT count(*) FILTER (tag IN ('planned','planned-group')) AS planned, count(*) AS total FROM tagged WHERE rk<=40 AND user_id IN (SELECT user_id FROM ratings WHERE status=6 GROUP BY 1 HAVING count(*) BETWEEN 5 AND 20))")
 def planned_recall(v: Views) -> DataFrame:
-    return evaluate.planned_recall(models.tagged(v.recs(), v.ratings, v.items))
+    """Over users with 5 to 20 planned items; the given lists are shorter than those of the 30 to 100 by default."""
+    return evaluate.planned_recall(models.tagged(v.recs(), v.ratings, v.items), v.ratings, 5, 20)
 
 
 @query(f"{VOTES_SQL}, top AS (SELECT * FROM recs WHERE rk<=30) SELECT (SELECT count(*) FROM top) AS n, round(2*coalesce(sum(m.score),0)/(SELECT count(*) FROM top),6) AS similarity FROM top a JOIN top b ON a.user_id=b.user_id AND a.rk<b.rk JOIN cooc m ON m.item_id=a.item_id AND m.similar_id=b.item_id")
@@ -194,21 +109,30 @@ def popularity(v: Views) -> DataFrame:
     return evaluate.popularity(v.recs(), v.items)
 
 
-@query(f"{BASE_SQL} SELECT user_id, item_id FROM (SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY norm, item_id)-1 AS p0, count(*) OVER (PARTITION BY user_id) AS n FROM scored WHERE norm>=0.6::DOUBLE) WHERE n>10 AND ((p0>=n//2 AND p0<n//2+2) OR p0>=n-5)")
+PICKS_SQL = """picks AS (SELECT user_id, item_id FROM (SELECT s.user_id, s.item_id, row_number() OVER (PARTITION BY s.user_id ORDER BY norm, s.item_id)-1 AS p0, count(*) OVER (PARTITION BY s.user_id) AS n FROM scored s JOIN stats USING (user_id) WHERE norm>=0.6::DOUBLE AND status=2 AND completed>=20)
+  WHERE n>10 AND ((p0>=(n+1)//2 AND p0<(n+1)//2+2) OR p0>=n-5))"""
+
+
+@query(f"{BASE_SQL}, {PICKS_SQL} SELECT user_id, item_id FROM picks")
 def middle_and_high(v: Views) -> DataFrame:
     return evaluate.middle_and_high(v.scored)
 
 
-@query()
+CASES_SQL = f"""{PICKS_SQL}, cases AS (SELECT user_id, item_id AS out FROM picks), less AS (SELECT c.user_id, c.out, r.item_id, r.status, r.rating FROM cases c JOIN ratings r USING (user_id) WHERE r.item_id<>c.out),
+full_lists AS (SELECT c.user_id, c.out, r.item_id, r.status, r.rating FROM cases c JOIN ratings r USING (user_id)),
+{stats_sql("less_stats", "less", "user_id,out")}, {scored_sql("less_scored", "less", "less_stats", "user_id,out")}, {votes_sql("user_id,out", "less_scored", "less")}, {tag_sql("user_id,out", full="full_lists")}"""
+
+
+@query(f"""{MODEL_SQL}, {CASES_SQL}, placed AS (SELECT *, coalesce(sum(CASE WHEN tag IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, out ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS place FROM tagged)
+SELECT hits, total, round(hits/total,6) AS recall FROM (SELECT count(*) FILTER (place<=30) AS hits, count(*) AS total FROM cases c LEFT JOIN placed p ON p.user_id=c.user_id AND p.out=c.out AND p.item_id=c.out)""")
 def single_item_recall(v: Views) -> DataFrame:
-    """Leave-one-out, batched: each (user, held item) is a user of its own."""
-    held = evaluate.middle_and_high(v.scored).join(v.targets.select("user_id"), "user_id", "left_semi")
-    case = held.select((F.col("user_id") * 1_000_000 + F.col("item_id")).alias("case"), "user_id", F.col("item_id").alias("out"))
-    reduced = v.ratings.join(case, "user_id").where("item_id <> out").select(F.col("case").alias("user_id"), "item_id", "status", "rating")
-    full = v.ratings.join(case, "user_id").select(F.col("case").alias("user_id"), "item_id", "status", "rating").where("status <> 6 and item_id >= 0")
-    recs = models.recommend_from_items(S.scored(reduced), reduced, v.model(), case.select(F.col("case").alias("user_id")))
-    shown = models.tagged(recs, full.join(case.select(F.col("case").alias("user_id"), F.col("out").alias("item_id")), ["user_id", "item_id"], "left_anti"), v.items)
-    return evaluate.hits(shown, case.select(F.col("case").alias("user_id"), F.col("out").alias("item_id")))
+    """Leave-one-out, batched: each (user, held item) is a list of its own, tagged by the user's full list."""
+    by = ("user_id", "out")
+    cases = evaluate.middle_and_high(v.scored).withColumnRenamed("item_id", "out")
+    full = v.ratings.join(cases, "user_id")
+    less = models.without(full, cases.withColumn("item_id", F.col("out")), by)
+    recs = models.recommend_from_items(S.scored(less, by=by), less, v.model(), v.restricted, by=by)
+    return evaluate.hits(models.tagged(recs, full, v.items, by), cases.withColumn("item_id", F.col("out")), by=by)
 
 
 @query(f"{BASE_SQL}, b AS (SELECT user_id, CASE WHEN completed<180 THEN completed//15 ELSE 8+completed//45 END AS bucket FROM stats) SELECT bucket::BIGINT AS bucket, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, round(100.0::DOUBLE*count(DISTINCT item_id)/(SELECT count(*) FROM part),4) AS percent FROM ratings JOIN b USING (user_id) GROUP BY ROLLUP (bucket)")
@@ -222,22 +146,24 @@ def stratified_sample(v: Views) -> DataFrame:
 
 
 def _query_titles(v: Views) -> DataFrame:
-    return v.items.where("item_id % 97 = 0").select(F.lower(F.substring("title", 3, 5)).alias("query"))
+    """A search for each item whose id divides by 100: five characters from the third on of its title."""
+    return v.items.where("item_id % 100 = 0").select(F.lower(F.substring("title", 3, 5)).alias("query")).distinct()
 
 
-@query(f"""WITH {ITEMS_SQL}, words AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(title),'[^a-z0-9]+'), lambda x: x<>'')) AS word FROM items),
-suf AS (SELECT item_id, word, unnest(range(0, greatest(1, CASE WHEN length(word)>10 THEN length(word)//2+2 WHEN length(word)>5 THEN length(word)-3 ELSE length(word)-2 END))) AS start FROM words),
-qs AS (SELECT DISTINCT lower(substr(title,3,5)) AS query FROM items WHERE item_id%97=0), qw AS (SELECT query, unnest(list_filter(regexp_split_to_array(query,'[^a-z0-9]+'), lambda x: x<>'')) AS q, generate_subscripts(list_filter(regexp_split_to_array(query,'[^a-z0-9]+'), lambda x: x<>''),1) AS q_at FROM qs),
-hit AS (SELECT query, q_at, item_id, min(CASE WHEN start=0 THEN length(word)-length(q) ELSE start*2-length(q)//3+(length(word)-length(q))*3 END) AS r FROM suf JOIN qw ON starts_with(substr(word,start+1),q) GROUP BY ALL),
-tot AS (SELECT query, item_id, count(*) AS matches, sum(r) AS r FROM hit GROUP BY ALL)
-SELECT query, rk, item_id, title FROM (SELECT query, t.item_id, title, row_number() OVER (PARTITION BY query ORDER BY matches DESC, r, rank, t.item_id)::INT AS rk FROM tot t JOIN items USING (item_id)) WHERE rk<=15""")
+@query(f"""WITH {ITEMS_SQL}, {TITLES_SQL}, words AS (SELECT item_id, title_id, unnest(list_filter(regexp_split_to_array(lower(title),'[^a-z0-9]+'), lambda x: x<>'')) AS word FROM titles),
+suf AS (SELECT item_id, title_id, word, unnest(range(0, greatest(1, CASE WHEN length(word)>10 THEN length(word)//2+2 WHEN length(word)>5 THEN length(word)-3 ELSE length(word)-2 END))) AS start FROM words),
+qs AS (SELECT DISTINCT lower(substr(title,3,5)) AS query FROM items WHERE item_id%100=0), qw AS (SELECT query, unnest(list_filter(regexp_split_to_array(query,'[^a-z0-9]+'), lambda x: x<>'')) AS q, generate_subscripts(list_filter(regexp_split_to_array(query,'[^a-z0-9]+'), lambda x: x<>''),1) AS q_at FROM qs),
+hit AS (SELECT query, q_at, item_id, title_id, min(CASE WHEN start=0 THEN length(word)-length(q) ELSE start*2-length(q)//3+(length(word)-length(q))*3 END) AS r FROM suf JOIN qw ON starts_with(substr(word,start+1),q) GROUP BY ALL),
+tot AS (SELECT query, item_id, title_id, count(*) AS matches, sum(r) AS r FROM hit GROUP BY ALL),
+one AS (SELECT *, row_number() OVER (PARTITION BY query, item_id ORDER BY matches DESC, r, title_id DESC) AS k FROM tot)
+SELECT query, rk, item_id, title FROM (SELECT query, t.item_id, s.title, row_number() OVER (PARTITION BY query ORDER BY matches DESC, r, rank, t.item_id)::INT AS rk FROM one t JOIN titles s ON s.item_id=t.item_id AND s.title_id=t.title_id JOIN items i ON i.item_id=t.item_id WHERE k=1) WHERE rk<=15""")
 def substring_search(v: Views) -> DataFrame:
-    return search.substring_suggest(v.titles(), v.items, _query_titles(v).distinct())
+    return search.substring_suggest(v.titles(), v.items, _query_titles(v))
 
 
 @query()
 def fuzzy_search(v: Views) -> DataFrame:
-    return search.fuzzy_suggest(v.titles(), v.items, _query_titles(v).distinct())
+    return search.fuzzy_suggest(v.titles(), v.items, _query_titles(v))
 
 
 @query(f"WITH {ITEMS_SQL}, l AS (SELECT CASE WHEN regexp_extract(upper(title),'[A-Z0-9]') BETWEEN 'A' AND 'Z' THEN regexp_extract(upper(title),'[A-Z0-9]') ELSE '0' END AS letter, item_id FROM items) SELECT letter, n, rk, item_id FROM (SELECT letter, count(*) OVER (PARTITION BY letter) AS n, row_number() OVER (PARTITION BY letter ORDER BY (item_id*2654435761)%4294967296, item_id)::INT AS rk, item_id FROM l) WHERE rk<=4")
@@ -253,45 +179,14 @@ def factor_neighbours(v: Views) -> DataFrame:
     return factors.item_neighbours(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("features")), groups)
 
 
-@query()
-def als_recommendations(v: Views) -> DataFrame:
-    finished = v.scored.join(v.items.where("status = 2").select("item_id"), "item_id", "left_semi")
-    users, items = factors.fit_als(finished, rank=10, rounds=5)
-    return factors.score_items(users.withColumnRenamed("id", "user_id").join(v.targets.select("user_id"), "user_id", "left_semi"), items, V.known(v.ratings), k=20)
-
-
-@query()
-def als_fold_in(v: Views) -> DataFrame:
-    """Factors of items in progress from users' factors: watching counts 1, dropped -1."""
-    users, _ = factors.fit_als(v.scored, rank=6, rounds=3)
-    now = v.items.where(F.col("status") == V.IN_PROGRESS).select("item_id")
-    seen = v.ratings.where("status in (1, 4)").join(now, "item_id", "left_semi").select("user_id", "item_id", F.when(F.col("status") == 1, 1.0).otherwise(-1.0).alias("v"))
-    return factors.fold_in(seen, users, "item_id", "user_id", "v")
-
-
-@query()
-def als_user_neighbours(v: Views) -> DataFrame:
-    users, _ = factors.fit_als(v.scored, rank=6, rounds=3)
-    return factors.user_neighbours(users, v.stats, v.targets, k=20)
-
-
-@query()
-def als_rmse(v: Views) -> DataFrame:
-    return factors.rmse(v.scored, *factors.fit_als(v.scored, rank=6, rounds=3), every=10)
-
-
-@query()
-def projected_item_similarity(v: Views) -> DataFrame:
-    return factors.item_neighbours(factors.sign_projection(v.scored), v.items)
-
-
-@query(f"{BASE_SQL} SELECT a.user_id, a.completed AS ca, count(*) AS others FROM stats a JOIN stats b ON a.user_id<>b.user_id WHERE a.user_id%20=0 AND a.completed>10 AND CASE WHEN least(a.completed,b.completed)=0 THEN false WHEN least(a.completed,b.completed)<5 AND greatest(a.completed,b.completed)<10 THEN true ELSE greatest(a.completed,b.completed)<2*least(a.completed,b.completed) END GROUP BY 1,2")
+@query(f"{BASE_SQL} SELECT sa.user_id, sa.completed AS ca, count(*) AS others FROM stats sa JOIN stats sb ON sa.user_id<>sb.user_id WHERE {SIMILAR_SQL} GROUP BY 1,2")
 def similar_activity_users(v: Views) -> DataFrame:
     """Counts by number of finished items first, so the pairing is of distinct counts, not of users."""
     counts = v.stats.groupBy("completed").agg(F.count(F.lit(1)).alias("m"))
-    kinds = v.targets.select(F.col("completed").alias("ca")).distinct()
-    fit = kinds.join(counts, S.similar_activity(F.col("ca"), F.col("completed"))).groupBy("ca").agg(F.sum("m").alias("m"))
-    return v.targets.select("user_id", F.col("completed").alias("ca")).join(fit, "ca").select("user_id", "ca", (F.col("m") - 1).alias("others")).where("others > 0")
+    fit = counts.select(F.col("completed").alias("ca")).join(counts, S.similar_activity(F.col("ca"), F.col("completed"))).groupBy("ca").agg(F.sum("m").alias("m"))
+    # Each user meets the counts near their own; that includes themselves wherever a count is near itself.
+    own = F.when(S.similar_activity(F.col("ca"), F.col("ca")), 1).otherwise(0)
+    return v.stats.select("user_id", F.col("completed").alias("ca")).join(fit, "ca").select("user_id", "ca", (F.col("m") - own).alias("others")).where("others > 0")
 
 
 @query(f"{BASE_SQL} SELECT item_id, count(*) AS users, count(*) FILTER (rating>0) AS rated, round(avg(rating) FILTER (rating>0),6) AS mean FROM ratings GROUP BY 1")
@@ -377,4 +272,7 @@ def rating_lists(v: Views) -> DataFrame:
 def rating_lists_round_trip(v: Views) -> DataFrame:
     from tastegraph.sources.lists import read_lists, write_lists
 
-    return read_lists(write_lists(v.ratings))
+    return read_lists(write_lists(v.ratings)).select("user_id", "item_id", "status", "rating")
+
+
+from tastegraph.operators import store_queries  # noqa: E402, F401  (registers its queries)

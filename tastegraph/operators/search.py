@@ -47,19 +47,25 @@ def substring_suggest(titles: DataFrame, ranks: DataFrame, queries: DataFrame, l
     return _best_titles(total, titles, ranks, [F.desc("matches"), F.col("r")], limit)
 
 
-def edit_match(q: str, word: str) -> tuple[int, int] | None:
-    """(edits, rest of the word) of the cheapest way to read all of ``q`` at the head of ``word``.
+def edit_budget(length: int) -> int:
+    """Edits allowed to a query word of so many characters."""
+    return 0 if length <= 2 else 1 if length <= 5 else 2
+
 
-    The budget is 0, 1 or 2 edits by the length of ``q``; its last character must match as it is.
+def edit_state(q: str, word: str) -> tuple[int, int, int] | None:
+    """(skipped, edits, rest of the word) of the best way to read all of ``q`` at the head of ``word``.
+
+    Skipped is by how much the characters read of the two differ in number; the fewest skipped,
+    then the fewest edits, then the shortest rest are best. The last character of ``q`` must match as it is.
     """
-    budget = 0 if len(q) <= 2 else 1 if len(q) <= 5 else 2
+    budget = edit_budget(len(q))
     states, best = {(0, 0): 0}, None
     while states:
         (i, j), cost = states.popitem()
         if i == len(q):
-            rest = len(word) - j
-            if best is None or (cost, rest) < best:
-                best = (cost, rest)
+            found = (abs(j - i), cost, len(word) - j)
+            if best is None or found < best:
+                best = found
             continue
         steps = []
         if j < len(word):
@@ -76,27 +82,51 @@ def edit_match(q: str, word: str) -> tuple[int, int] | None:
     return best
 
 
-def _edits(q: pd.Series, word: pd.Series) -> pd.DataFrame:
-    found = [edit_match(a, b) for a, b in zip(q, word)]
-    return pd.DataFrame({"distance": [f[0] if f else -1 for f in found], "level": [f[1] if f else -1 for f in found]})
+def edit_match(q: str, word: str) -> tuple[int, int] | None:
+    """(edits, rest of the word) of the best reading."""
+    found = edit_state(q, word)
+    return found and found[1:]
 
 
-def fuzzy_suggest(titles: DataFrame, ranks: DataFrame, queries: DataFrame, limit: int = 15) -> DataFrame:
-    """Titles whose words begin like the query's words, up to two edits; each distinct word is compared once.
+def query_keys(q: str) -> list[tuple[str, int]]:
+    """(characters, place) pairs of which every word that ``q`` matches has one.
 
-    A query word meets words by their length, from two characters shorter up; words over 64 characters
-    count as that long.
+    With k edits at least one of k + 1 pieces of the query is untouched, and stands in the word at
+    most k characters from its place; the first two characters of each piece are its key.
     """
-    words = words_of(titles)
+    k = edit_budget(len(q))
+    cut = [round(len(q) * n / (k + 1)) for n in range(k + 2)]
+    return sorted({(q[s:e][:2], at) for s, e in zip(cut, cut[1:]) for at in range(max(0, s - k), s + k + 1)})
+
+
+def word_keys(word: Column) -> Column:
+    """(characters, place) of every one and two neighbouring characters of a word."""
+    at = F.sequence(F.lit(0), F.length(word) - 1)
+    of = lambda n: F.transform(at, lambda i: F.struct(F.substring(word, i + 1, F.lit(n)).alias("part"), i.alias("place")))
+    return F.array_distinct(F.concat(of(1), of(2)))
+
+
+def _edits(q: pd.Series, word: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([edit_state(a, b) or (-1, -1, -1) for a, b in zip(q, word)], columns=["skipped", "distance", "level"])
+
+
+def near_words(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``q, word, skipped, distance, level`` for each wanted ``q`` and ``word`` that begins like it; only words that share a key with it are compared."""
+    keys = F.pandas_udf(lambda q: q.map(lambda x: [{"part": p, "place": k} for p, k in query_keys(x)]), "array<struct<part:string,place:int>>")
+    left = wanted.select("q", F.explode(keys("q")).alias("key")).select("q", "key.part", "key.place")
+    right = vocabulary.select("word", F.explode(word_keys(F.col("word"))).alias("key")).select("word", "key.part", "key.place")
+    met = right.join(left, ["part", "place"]).select("q", "word").distinct()
+    found = met.withColumn("m", F.pandas_udf(_edits, "struct<skipped:int,distance:int,level:int>")("q", "word"))
+    return found.where("m.distance >= 0").select("q", "word", "m.skipped", "m.distance", "m.level")
+
+
+def fuzzy_suggest(titles: DataFrame, ranks: DataFrame, queries: DataFrame, limit: int = 15) -> DataFrame:
+    """Titles whose words begin like the query's words, up to two edits; each distinct word is compared once."""
+    words = words_of(titles).select("item_id", "title_id", "word").distinct()
     q = query_words(queries)
-    longest = F.explode(F.sequence(F.least(F.greatest(F.lit(1), F.length("q") - 2), F.lit(64)), F.lit(64)))
-    reach = q.select("q").distinct().select("q", longest.alias("wl"))
-    vocabulary = words.select("word").distinct()
-    pairs = vocabulary.withColumn("wl", F.least(F.length("word"), F.lit(64))).join(reach, "wl")
-    near = pairs.withColumn("m", F.pandas_udf(_edits, "struct<distance:int,level:int>")("q", "word")).where("m.distance >= 0").select("q", "word", "m.distance", "m.level")
-    hit = near.join(q, "q").join(words, "word").withColumn("skipped", F.abs(F.col("at") - F.col("q_at")))
+    near = near_words(words.select("word").distinct(), q.select("q").distinct())
     best = F.min(F.struct("skipped", "distance", "level")).alias("b")
-    word = hit.groupBy("query", "q_at", "item_id", "title_id").agg(best)
+    word = near.join(q, "q").join(words, "word").groupBy("query", "q_at", "item_id", "title_id").agg(best)
     total = word.groupBy("query", "item_id", "title_id").agg(
         F.count(F.lit(1)).alias("matches"), F.sum("b.skipped").alias("skipped"), F.sum("b.distance").alias("distance"), F.max("b.level").alias("level")
     )

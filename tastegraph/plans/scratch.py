@@ -6,26 +6,44 @@ executor shares; only where it is unset (tests, local mode) a temporary one is m
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
+_WRITTEN: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """URI of the shared folder for intermediate tables."""
     root = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {_KEY} to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-scratch-", dir="/tmp")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
         spark.conf.set(_KEY, root)
     return root.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the tables that this process wrote for ``spark``; for the end of a job, when no result refers to them any more."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path
+    gone = 0
+    while _WRITTEN:
+        path = fs(_WRITTEN.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -1,31 +1,110 @@
-"""Readers and writers of rating lists and item pages."""
+"""Readers and writers of rating lists: JSON, protobuf, request bodies, XML dumps and list pages."""
 
 from __future__ import annotations
 
+import gzip
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.functions.scores import adjusted_date, short_date
+from tastegraph.functions.scores import day_of, short_date
 
-XML_SCHEMA = "myinfo struct<user_id:long,user_name:string>, entry array<struct<item_id:long,status:int,score:int,title:string,last_updated:long>>"
+# Fixed values of the formats: names of fields, codes of types.
+_USER = "user_id:long,user_name:string,user_watching:int,user_reading:int,user_completed:int,user_onhold:int,user_dropped:int,user_plantowatch:int,user_plantoread:int"
+_SHARED = "series_title:string,series_type:int,series_status:int,series_start:string,series_end:string,series_image:string,my_score:int,my_status:int,my_last_updated:long"
+XML_SCHEMA = f"myinfo struct<{_USER}>, anime array<struct<series_animedb_id:long,series_episodes:int,{_SHARED}>>, manga array<struct<series_mangadb_id:long,series_chapters:int,series_volumes:int,{_SHARED}>>"
+TYPES = {"TV": 1, "OVA": 2, "Movie": 3, "Special": 4, "ONA": 5, "Music": 6, "Manga": 1, "Novel": 2, "One-shot": 3, "Doujinshi": 4, "Manhwa": 5, "Manhua": 6}
+PAGE_PREFIX = {"anime": ("anime_id", "anime_title", "anime_media_type_string", "anime_airing_status", "anime_num_episodes", "anime_num_episodes"), "manga": ("manga_id", "manga_title", "manga_media_type_string", "manga_publishing_status", "manga_num_chapters", "manga_num_volumes")}
 
 
 def write_lists(ratings: DataFrame) -> DataFrame:
-    """``user_id, list``: JSON ``[[item, status, rating], ...]`` in item order; a user's list is one row."""
-    entry = F.struct("item_id", F.array(F.col("item_id"), F.col("status").cast("long"), F.col("rating").cast("long")).alias("e"))
-    rows = ratings.groupBy("user_id").agg(F.sort_array(F.collect_list(entry)).alias("l"))
+    """``user_id, list``: JSON ``[[item, status, rating], ...]`` in item order, with the day as a fourth number where there is a column ``day``."""
+    days = ["day"] if "day" in ratings.columns else []
+    numbers = F.array(*[F.col(c).cast("long") for c in ["item_id", "status", "rating", *days]])
+    rows = ratings.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("item_id", "status", "rating", numbers.alias("e")))).alias("l"))
     return rows.select("user_id", F.to_json("l.e").alias("list"))
 
 
+def _entries(entries: Column) -> Column:
+    at = lambda e, k: F.get(e, F.lit(k))
+    # The day stands for finished and dropped items only.
+    typed = F.transform(entries, lambda e: F.struct(at(e, 0).alias("item_id"), at(e, 1).cast("int").alias("status"), at(e, 2).cast("int").alias("rating"), F.when(at(e, 1).isin(2, 4), F.coalesce(at(e, 3), F.lit(0))).otherwise(0).cast("int").alias("day")))
+    return F.array_sort(typed)
+
+
 def read_lists(lists: DataFrame) -> DataFrame:
-    """Ratings of JSON lists; a fourth number, the day, is passed over; broken lists give no rows."""
-    e = F.explode(F.from_json("list", "array<array<bigint>>")).alias("e")
-    return lists.select("user_id", e).select("user_id", F.get("e", F.lit(0)).alias("item_id"), F.get("e", F.lit(1)).cast("int").alias("status"), F.get("e", F.lit(2)).cast("int").alias("rating"))
+    """``user_id, item_id, status, rating, day`` of JSON lists, those of a list in order of the item; broken lists give no rows."""
+    return lists.select("user_id", F.explode(_entries(F.from_json("list", "array<array<bigint>>"))).alias("e")).select("user_id", "e.*")
 
 
 def read_request(body: Column) -> Column:
-    """Entries of a request body ``{"animeList": [[item, status, rating], ...]}``."""
-    return F.from_json(body, "animeList array<array<bigint>>").getField("animeList")
+    """Sorted entries of a request body ``{"animeList": [[item, status, rating], ...]}``."""
+    return _entries(F.from_json(body, "animeList array<array<bigint>>").getField("animeList"))
+
+
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while True:
+        n, low = n >> 7, n & 127
+        out.append(low | (128 if n else 0))
+        if not n:
+            return bytes(out)
+
+
+def _take(raw: bytes, at: int) -> tuple[int, int]:
+    value = shift = 0
+    while True:
+        byte = raw[at]
+        at += 1
+        value |= (byte & 127) << shift
+        if byte < 128:
+            return value, at
+        shift += 7
+
+
+def _packed(entries: list) -> bytes:
+    """A repeated field 1 of messages with the numbers of an entry as fields 1 to 4, zeros left out, gzipped."""
+    out = []
+    for e in entries:
+        body = b"".join(_varint(8 * k) + _varint(int(v)) for k, v in enumerate(e, 1) if v)
+        out.append(b"\x0a" + _varint(len(body)) + body)
+    return gzip.compress(b"".join(out), mtime=0)
+
+
+def _unpacked(raw: bytes | None) -> list[list[int]] | None:
+    try:
+        raw, at, out = gzip.decompress(raw), 0, []
+        while at < len(raw) and raw[at] == 0x0A:
+            size, at = _take(raw, at + 1)
+            end, own = at + size, [0, 0, 0, 0]
+            while at < end:
+                tag, at = _take(raw, at)
+                own[tag // 8 - 1], at = _take(raw, at)
+            out.append(own)
+        return out
+    except (TypeError, OSError, EOFError, IndexError):
+        return None
+
+
+def write_packed(ratings: DataFrame) -> DataFrame:
+    """``user_id, packed``: each user's list as gzipped protobuf, in item order; ``ratings`` may have a column ``day``."""
+    day = [F.col("day")] if "day" in ratings.columns else [F.lit(0)]
+    numbers = F.array(*[F.col(c).cast("long") for c in ("item_id", "status", "rating")], *[d.cast("long") for d in day])
+    rows = ratings.groupBy("user_id").agg(F.sort_array(F.collect_list(numbers)).alias("l"))
+    pack = F.pandas_udf(lambda l: pd.Series([_packed(x) for x in l]), "binary")
+    return rows.select("user_id", pack("l").alias("packed"))
+
+
+def read_packed(lists: DataFrame) -> DataFrame:
+    """``user_id, item_id, status, rating, day`` of gzipped protobuf lists, those of a list in order; broken lists give no rows."""
+    unpack = F.pandas_udf(lambda p: pd.Series([_unpacked(x) for x in p]), "array<array<bigint>>")
+    return lists.select("user_id", unpack("packed").alias("l")).select("user_id", F.explode(_entries(F.col("l"))).alias("e")).select("user_id", "e.*")
+
+
+def gunzipped(column: Column) -> Column:
+    """Bytes of gzipped binary; null stays null."""
+    return F.pandas_udf(lambda p: p.map(lambda x: None if x is None else gzip.decompress(x)), "binary")(column)
 
 
 def clean_xml(text: Column) -> Column:
@@ -33,32 +112,53 @@ def clean_xml(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x00-\\x1f]", " ")
 
 
-def read_xml_dump(dumps: DataFrame, column: str = "xml") -> DataFrame:
-    """One row for each entry of users' XML dumps."""
-    parsed = dumps.select(F.from_xml(clean_xml(F.col(column)), XML_SCHEMA).alias("d"))
-    return parsed.select(F.col("d.myinfo.user_id").alias("user_id"), F.explode("d.entry").alias("e")).select("user_id", "e.*")
+def read_xml_dump(dumps: DataFrame, column: str = "xml", kind: str = "anime") -> DataFrame:
+    """One row for each entry of users' XML dumps of a ``kind``, with the user's id, name and counts.
 
-
-def list_page(page: Column) -> Column:
-    """Entries of a JSON list page with typed fields and ISO dates."""
-    schema = "array<struct<id:int,title:string,media_type:string,num_parts:int,airing_status:tinyint,start_date:string,end_date:string,score:tinyint,status:tinyint>>"
-    # Fixed values of the format.
-    kinds = {"TV": 1, "OVA": 2, "Movie": 3, "Special": 4, "ONA": 5, "Music": 6}
+    ``units`` are episodes or chapters, ``volumes`` 0 where a kind has none; ``day`` is kept for
+    finished and dropped items.
+    """
+    parsed = dumps.select(F.from_xml(clean_xml(F.col(column)), XML_SCHEMA).alias("d"))
+    user = [F.col("d.myinfo.user_id").alias("user_id"), F.col("d.myinfo.user_name").alias("username")]
+    now, later = ("watching", "plantowatch") if kind == "anime" else ("reading", "plantoread")
+    user += [F.coalesce(F.col(f"d.myinfo.user_{n}"), F.lit(0)).alias(f"n_{label}") for n, label in ((now, "watching"), ("completed", "completed"), ("onhold", "onhold"), ("dropped", "dropped"), (later, "planned"))]
+    e = parsed.select(*user, F.explode(f"d.{kind}").alias("e"))
+    units, volumes = (F.col("e.series_episodes"), F.lit(0)) if kind == "anime" else (F.col("e.series_chapters"), F.col("e.series_volumes"))
+    return e.select(
+        *[c for c in e.columns if c != "e"], F.col(f"e.series_{kind}db_id").alias("item_id"), F.col("e.series_title").alias("title"), F.col("e.series_type").alias("type"), units.alias("units"), volumes.alias("volumes"),
+        F.col("e.series_status").alias("item_status"), F.col("e.series_start").alias("start"), F.col("e.series_end").alias("end"), F.col("e.series_image").alias("image"),
+        F.col("e.my_status").alias("status"), F.col("e.my_score").alias("rating"), F.col("e.my_last_updated").alias("last_updated"), day_of(F.col("e.my_last_updated"), F.col("e.my_status")).alias("day"),
+    )
+
+
+def list_page(page: Column, kind: str = "anime") -> Column:
+    """Entries of a JSON list page of a ``kind`` with type codes (0 for an unknown one), ISO dates and short image addresses.
+
+    A date or an image of another form is an error.
+    """
+    ident, title, media, state, units, volumes = PAGE_PREFIX[kind]
+    fields = dict.fromkeys((ident, title, media, state, units, volumes, f"{kind}_start_date_string", f"{kind}_end_date_string", f"{kind}_image_path", "score", "status"), "string")
+    fields |= {ident: "long"} | dict.fromkeys((units, volumes, state, "score", "status"), "int")
+    schema = f"array<struct<{','.join(f'{n}:{t}' for n, t in fields.items())}>>"
+    codes = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
+
+    def image(url: Column) -> Column:
+        short = F.regexp_extract(url, r"^(https://[^/]+)/.*(/images/(?:anime|manga)/\d+/.*\.(?:jpg|webp)).*$", 0) != ""
+        parts = [F.regexp_extract(url, r"^(https://[^/]+)/.*(/images/(?:anime|manga)/\d+/.*\.(?:jpg|webp)).*$", k) for k in (1, 2)]
+        return F.when(url.isNull(), None).when(short, F.concat(*parts)).when(url.contains("qm_50.gif"), "").otherwise(F.raise_error(F.concat(F.lit("unknown image "), url)).cast("string"))
 
     def convert(e: Column) -> Column:
-        kind = F.raise_error(F.concat(F.lit("unknown type "), e["media_type"])).cast("int")
-        for name, code in kinds.items():
-            kind = F.when(e["media_type"] == name, code).otherwise(kind)
-        return F.struct(e["id"].alias("item_id"), e["title"].alias("title"), kind.alias("type"), adjusted_date(short_date(e["start_date"])).alias("start"), adjusted_date(short_date(e["end_date"])).alias("end"), e["score"].alias("rating"), e["status"].alias("status"))
+        dates = [short_date(e[f"{kind}_{x}_date_string"]).alias(x) for x in ("start", "end")]
+        return F.struct(
+            e[ident].alias("item_id"), e[title].alias("title"), F.coalesce(F.try_element_at(codes, e[media]), F.lit(0)).alias("type"), e[units].alias("units"), (e[volumes] if kind == "manga" else F.lit(0)).alias("volumes"),
+            e[state].alias("item_status"), *dates, image(e[f"{kind}_image_path"]).alias("image"), e["score"].alias("rating"), e["status"].alias("status"),
+        )
 
     return F.transform(F.from_json(page, schema), convert)
 
 
-def usernames(html: Column) -> Column:
-    """Names of the profile links of a users page, in order."""
-    return F.array_distinct(F.regexp_extract_all(html, F.lit(r'href="/profile/([^"/]+)"'), 1))
-
+def list_counts(entries: DataFrame) -> DataFrame:
+    """``user_id`` and the number of entries of each status, as a list's own statistics."""
+    names = ((1, "watching"), (2, "completed"), (3, "onhold"), (4, "dropped"), (6, "planned"))
+    return entries.groupBy("user_id").agg(*[F.count_if(F.col("status") == k).alias(n) for k, n in names])
 
-def counted(html: Column, label: str) -> Column:
-    """A number with thousands separators that follows a label."""
-    return F.regexp_replace(F.regexp_extract(html, rf"{label}[^0-9]*([0-9][0-9,]*)", 1), ",", "").try_cast("long")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tastegraph.plans.numbering import numbered
+
 NEW, TAKEN, FAILED, DONE = 0, 1, 2, 3
 RETRY_AFTER, ATTEMPTS = 120, 3
 
@@ -22,8 +24,8 @@ def enqueue(queue: DataFrame, requests: DataFrame) -> DataFrame:
 
 def positions(queue: DataFrame) -> DataFrame:
     """One more than the number of waiting names that came earlier."""
-    waiting = queue.where(F.col("status") == NEW)
-    return waiting.select("username", F.rank().over(W.orderBy("insert_time")).alias("position"))
+    waiting = queue.where(F.col("status") == NEW).select("username", "insert_time")
+    return numbered(waiting, [F.floor(F.col("insert_time") / 600)], [F.col("insert_time")], "position", ties=True).select("username", "position")
 
 
 def due(queue: DataFrame, now: Column | int, n: int = 1) -> DataFrame:
@@ -70,15 +72,6 @@ def one_owner(users: DataFrame) -> DataFrame:
     return users.withColumn("username", F.when(F.row_number().over(w) == 1, F.col("username")).otherwise(""))
 
 
-def age_bucketed(users: DataFrame, now: int, per_bucket: int = 10) -> DataFrame:
-    """The stalest ``per_bucket`` users of each age bucket; buckets end at 10 + 1.1^k days."""
-    days = (F.lit(now) - F.col("last_update")) / 86400.0
-    bucket = F.when(days <= 11, 0).otherwise(F.ceil(F.log(F.lit(1.1), days - 10)))
-    rows = users.withColumn("bucket", bucket.cast("int"))
-    w = W.partitionBy("bucket").orderBy("last_update", "user_id")
-    return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_bucket)
-
-
 def queue_stream(events: DataFrame) -> DataFrame:
     """The queue as a keyed stream: events ``(username, kind, ts)`` with kind request, ok or fail.
 
