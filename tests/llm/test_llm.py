@@ -147,7 +147,7 @@ def test_line_components_hold_every_similar_pair_of_a_band(spark, monkeypatch):
     rng = random.Random(11)
     tails = [f"{a} {b}" for a in ("red", "blue", "green", "black") for b in ("one", "two", "three", "four", "five", "six")]
     heads = ["the committee of the northern harbour will", "every visitor must sign the long register and"]
-    text = [f"{rng.choice(heads)} {' '.join(rng.choices(tails, k=rng.randrange(1, 4)))}" for _ in range(300)]
+    text = [f"{rng.choice(heads)} {' '.join(rng.choices(tails, k=rng.randrange(1, 4)))}" for _ in range(420)]
     occurrences = lines._occurrences(table(spark, list(enumerate(text))))
     found = lines.distinct_lines(occurrences)
     got = {r["node"]: r["component"] for r in lines.line_components(occurrences, found).collect()}
