@@ -26,13 +26,21 @@ def spread(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(7)), key).limit(n)
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n: int) -> DataFrame:
-    """``(doc_id, label, text)`` for at most ``n`` labelled doc_ids that ``allowed`` admits.
+def texts_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``chosen`` rows, at most some thousands with a ``doc_id`` each, with the least of the texts that stand under it; one row for an id."""
+    found = docs.select(F.col("doc_id").alias("_of"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("_of") == F.col("doc_id"))
+    others = [c for c in chosen.columns if c != "doc_id"]
+    return found.groupBy("doc_id", *others).agg(F.min("text").alias("text"))
 
-    A doc_id with contradictory labels, or a null one, is not used. The chosen ids, at most
-    ``n`` rows of two numbers, are broadcast; texts stay where they are.
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, n: int, only: int | None = None) -> DataFrame:
+    """``(doc_id, label, text)`` for at most ``n`` labelled doc_ids that ``allowed`` admits, of the label ``only`` if one is given.
+
+    A doc_id with contradictory labels, or a null one, is not used; one that stands in several
+    rows counts once. The chosen ids, at most ``n`` rows of two numbers, are broadcast; texts stay
+    where they are.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
     agreed = known.groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("_most")).where("label = _most")
-    chosen = spread(agreed.select("doc_id", "label"), n)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    agreed = agreed if only is None else agreed.where(F.col("label") == only)
+    return texts_of(docs, spread(agreed.select("doc_id", "label"), n)).select("doc_id", "label", "text")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastegraph.llm.labelled import crc_mod, labelled_texts, map_rows, spread
+from tastegraph.llm.labelled import crc_mod, labelled_texts, map_rows, spread, texts_of
 
 #: Bounds of the two training samples.
 POSITIVES = 8000
@@ -143,9 +143,9 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, allowed=None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> dict:
     """Train on at most ``positives`` trusted and ``unlabelled`` unlabelled documents, in one task."""
     allowed = F.lit(True) if allowed is None else allowed
-    trusted = labelled_texts(docs, labels.where("quality = 1"), "quality", allowed, positives).select(F.lit(1).alias("p"), "doc_id", "text")
-    chosen = spread(docs.where("doc_id is not null").select("doc_id"), unlabelled).select(F.col("doc_id").alias("_id"))
-    web = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi").select(F.lit(0).alias("p"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    trusted = labelled_texts(docs, labels, "quality", allowed, positives, only=1).select(F.lit(1).alias("p"), "doc_id", "text")
+    chosen = spread(docs.where("doc_id is not null").select("doc_id").distinct(), unlabelled)
+    web = texts_of(docs, chosen).select(F.lit(0).alias("p"), "doc_id", "text")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
