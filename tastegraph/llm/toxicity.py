@@ -28,7 +28,8 @@ SAMPLE = 8000
 ALPHA, BETA, L2, EPOCHS = 1.0, 1.0, 1.0, 4
 #: The L1 term is a hundredth of the number of toxic examples, within these bounds.
 L1 = (1.0, 6.0)
-MEMO = 800_000
+#: Words that a worker remembers, some 60 MB.
+MEMO = 250_000
 _WORD = re.compile(r"[^\W_]+")
 
 
