@@ -12,7 +12,8 @@ original vectors in double precision.
 Vectors that are null, zero or hold null or non-finite components take no part, neither as
 query nor as candidate; nor do rows without an id. Vectors of another length than the most
 frequent one take no part either. Ties go to the smaller id. Repeated rows count as
-candidates of their own, but a query's own id is never among its neighbours. An empty
+candidates of their own, but a query's own id is never among its neighbours; a query id that
+stands in several rows asks with the least of its vectors. An empty
 table gives an empty result.
 """
 
@@ -36,7 +37,7 @@ ROUNDS = 12
 #: Vectors of a scanned block, queries of a query block, vectors of a block that are ranked exactly for each query.
 BLOCK, QUERIES, RERANK = 4096, 256, 64
 SLACK = 0.01
-#: Query blocks are broadcast up to this many bytes of vectors, and joined beyond it.
+#: Queries are broadcast in slices of up to this many bytes of vectors.
 BROADCAST_BYTES = 64 << 20
 
 
@@ -171,38 +172,37 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
                 part = pdf.iloc[at : at + QUERIES]
                 yield pd.DataFrame({"q_ids": [part["vec_id"].to_numpy(np.int64).tobytes()], "qs": [np.array(part["x"].tolist(), float).tobytes()]})
 
-    queries = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    n = queries.count()
-    parts = max(1, -(-n // (QUERIES * 8)))
-    blocks = materialize(queries.repartition(parts).mapInPandas(block_queries, "q_ids binary, qs binary"), "ann-queries")
-    small = n * (width + 1) * 8 <= BROADCAST_BYTES
+    asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("x").alias("x"))
+    n = asked.count()
+    slices = max(1, -(-n * (width + 1) * 8 // BROADCAST_BYTES))
     indexed = base.mapInPandas(index, "ids binary, xs binary, codes binary")
-    if not small:
-        # Every pair of a block of vectors and a block of queries is one row of bounded size, dealt over the cluster.
-        blocks = materialize(blocks.withColumn("qb", F.row_number().over(W.orderBy("q_ids")) - 1), "ann-queries")
-        count = blocks.count()
-        indexed = indexed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).repartition("qb")
-        pairs = indexed.join(blocks, "qb").drop("qb")
-    else:
-        held = [(bytes(r["q_ids"]), bytes(r["qs"])) for r in blocks.collect()]
-        sent = spark.sparkContext.broadcast(held)
-        pairs = indexed
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, list[tuple[float, int]]] = {}
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids = np.frombuffer(row.ids, np.int64)
-                x, packed = np.frombuffer(row.xs).reshape(-1, width), np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1)
-                for q_ids, qs in sent.value if small else [(row.q_ids, row.qs)]:
-                    q_ids = np.frombuffer(q_ids, np.int64)
-                    for q, v, s in best_of_block(q_ids, np.frombuffer(qs).reshape(-1, width), ids, x, packed, books, k):
-                        best.setdefault(q, []).append((-s, v))
-            for q, found in best.items():
-                best[q] = sorted(found)[:k]
-        rows = [(q, v, -s) for q, found in best.items() for s, v in found]
-        yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = pairs.mapInPandas(search, "query_id long, vec_id long, score double")
+    if slices > 1:  # each slice of the queries is a pass over the index
+        asked, indexed = materialize(asked, "ann-queries"), materialize(indexed, "ann-index")
+
+    def found_for(s: int) -> DataFrame:
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).repartition(max(1, -(-n // (QUERIES * 8 * slices))))
+        blocks = part.mapInPandas(block_queries, "q_ids binary, qs binary").collect()
+        sent = spark.sparkContext.broadcast([(bytes(r["q_ids"]), bytes(r["qs"])) for r in blocks])
+
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best: dict[int, list[tuple[float, int]]] = {}
+            for pdf in batches:
+                for row in pdf.itertuples(index=False):
+                    ids = np.frombuffer(row.ids, np.int64)
+                    x, packed = np.frombuffer(row.xs).reshape(-1, width), np.frombuffer(row.codes, np.uint8).reshape(len(ids), -1)
+                    for q_ids, qs in sent.value:
+                        q_ids = np.frombuffer(q_ids, np.int64)
+                        for q, v, score in best_of_block(q_ids, np.frombuffer(qs).reshape(-1, width), ids, x, packed, books, k):
+                            best.setdefault(q, []).append((-score, v))
+                for q, found in best.items():
+                    best[q] = sorted(found)[:k]
+            rows = [(q, v, -score) for q, found in best.items() for score, v in found]
+            yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+        return indexed.mapInPandas(search, "query_id long, vec_id long, score double")
+
+    found = found_for(0)
+    for s in range(1, slices):
+        found = found.unionByName(found_for(s))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
