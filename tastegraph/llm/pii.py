@@ -337,7 +337,7 @@ def model_spans(texts: list[str], w: dict[str, np.ndarray]) -> list[list[Span]]:
     if not jobs:
         return [[] for _ in texts]
     codes = {d: encode_text(texts[d]) for d in {j[0] for j in jobs}}
-    runs: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+    runs: list[list] = []  # text, start, end, (begin, scores) of each window
     for at in range(0, len(jobs), 512):
         part = jobs[at : at + 512]
         x = np.full((WINDOW, len(part)), 0, np.int64)
@@ -345,19 +345,19 @@ def model_spans(texts: list[str], w: dict[str, np.ndarray]) -> list[list[Span]]:
             x[: e - s, k] = codes[d][s:e]
         scores, _ = emissions(w, x)
         for k, (d, s, e) in enumerate(part):
-            own = scores[: e - s, k]
-            if runs and runs[-1][0] == d and s < runs[-1][1] + len(runs[-1][2]):
-                _, start, total, seen = runs[-1]
-                grown = e - start - len(total)
-                total, seen = np.concatenate([total, np.zeros((grown, len(LABELS)))]), np.concatenate([seen, np.zeros(grown)])
-                total[s - start :] += own
-                seen[s - start :] += 1
-                runs[-1] = (d, start, total, seen)
+            own = scores[: e - s, k].astype(np.float32)
+            if runs and runs[-1][0] == d and s < runs[-1][2]:
+                runs[-1][2] = e
+                runs[-1][3].append((s, own))
             else:
-                runs.append((d, s, own.copy(), np.ones(e - s)))
+                runs.append([d, s, e, [(s, own)]])
     out: list[list[Span]] = [[] for _ in texts]
     trans = w["trans"] + BARRED
-    for d, start, total, seen in runs:
+    for d, start, stop, held in runs:
+        total, seen = np.zeros((stop - start, len(LABELS))), np.zeros(stop - start)
+        for s, own in held:
+            total[s - start : s - start + len(own)] += own
+            seen[s - start : s - start + len(own)] += 1
         path = viterbi(total / seen[:, None], trans)
         t = 0
         while t < len(path):
