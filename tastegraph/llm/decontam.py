@@ -36,6 +36,8 @@ THRESHOLD = 0.5
 SLICE_CHARS = 8_000_000
 #: Words of passages that are collected for alignment at once, about.
 BATCH_WORDS = 500_000
+#: Pairs of a place and an item that are held at once, about.
+EXPANDED = 1_000_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -90,6 +92,12 @@ class ItemGrams:
         if not len(at):
             return
         count = hi - lo
+        # Grams of many items are looked at in runs of places, so that no more than EXPANDED pairs are held.
+        run = np.cumsum(count) // EXPANDED
+        for begin, until in zip(np.searchsorted(run, np.unique(run), "left"), np.searchsorted(run, np.unique(run), "right")):
+            yield from self._places(words, ids, at[begin:until], lo[begin:until], count[begin:until])
+
+    def _places(self, words: list[str], ids: np.ndarray, at: np.ndarray, lo: np.ndarray, count: np.ndarray) -> Iterator[tuple[int, list[str]]]:
         row = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
         pos, item = np.repeat(at, count), self.item[row]
         order = np.lexsort((pos, item))
