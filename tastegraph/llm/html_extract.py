@@ -35,11 +35,18 @@ _ATTR = re.compile(r"\b(class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"
 _WORD = re.compile(r"[a-z]+")
 #: Labels of the template pages' nodes; a page of the corpus has none, and nothing but training reads them.
 _KEEP = re.compile(r'data-keep="([01])"')
+#: Content that is dropped up to the closing tag; one that is never closed is dropped to the end for the kinds that hold no markup, else its tag alone.
+TEXT_ONLY = frozenset("script style textarea title".split())
+_CLOSE = {t: re.compile(rf"</{t}\b[^>]*>?", re.I) for t in "script style textarea title noscript template iframe svg object select".split()}
+_CLOSE["head"] = re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I)
+# What is in a button or an option ends with the next structural tag at the latest.
+_CLOSE |= {t: re.compile(rf"</{t}\b[^>]*>?|(?=</?(?:p|div|section|article|main|form|ul|ol|li|dl|table|tr|td|th|h[1-6]|body|html|nav|aside|header|footer|blockquote|pre|select|button|option)\b)", re.I) for t in ("button", "option")}
 RAW = frozenset("script style textarea title noscript template iframe svg object select option button head".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: An opening tag of the key ends an open element of these kinds, up to a container.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
+_P = {"p"}
 BOUNDS = frozenset("ul ol dl table article section div main body aside nav header footer blockquote form".split())
 TAGS = "html body div section article main p h1 h2 h3 h4 ul ol li dl table tr td blockquote pre figure aside nav header footer form".split()
 #: Attribute tokens that are features of their own.
@@ -82,6 +89,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((stack[-1], text))
             held, n_link = [], 0
 
+    opened: dict[str, int] = {}
+
+    def cut(k: int) -> None:
+        for n in stack[k:]:
+            opened[nodes[n].tag] -= 1
+        del stack[k:]
+
     at, end = 0, len(page)
     while at < end:
         found = _TOKEN.search(page, at)
@@ -96,15 +110,15 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = (found[2] or "").lower()
         if not tag:
             continue
+        if not found[0].endswith(">"):  # a quote that is never closed: the tag ends at the next sign that ends one
+            at = page.find(">", at) + 1 or end
         if found[1]:
             if tag == "a":
                 link = 0
             elif tag not in INLINE and tag not in VOID:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[k]].tag == tag:
-                        del stack[k:]
-                        break
+                if opened.get(tag):
+                    cut(next(k for k in range(len(stack) - 1, 0, -1) if nodes[stack[k]].tag == tag))
             continue
         if tag in INLINE:
             link = int(tag == "a" or (link and tag != "a"))
@@ -114,10 +128,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag in RAW:
             if tag not in ("button", "option", "select", "title"):
                 held.append(" ")
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at) if not found[0].endswith("/>") else None
-            if tag == "head":
-                close = re.compile(r"</head\b[^>]*>?|(?=<body\b)", re.I).search(page, at)
-            at = close.end() if close else (at if tag == "head" or found[0].endswith("/>") else end)
+            close = None if found[0].endswith("/>") else _CLOSE[tag].search(page, at)
+            if close:
+                at = close.end()
+            elif tag in TEXT_ONLY and not found[0].endswith("/>"):
+                at = end
         elif tag in VOID:
             flush()
         elif tag in ("html", "body") and len(stack) > 1 and any(nodes[k].tag == tag for k in stack[1:]):
@@ -125,13 +140,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         else:
             flush()
             link = 0
-            shut = CLOSES.get(tag, {"p"} if tag != "p" else {"p"})
-            for k in range(len(stack) - 1, 0, -1):
-                name = nodes[stack[k]].tag
-                if name in shut:
-                    del stack[k:]
-                elif name in BOUNDS:
-                    break
+            shut = CLOSES.get(tag, _P)
+            if any(opened.get(t) for t in shut):
+                for k in range(len(stack) - 1, 0, -1):
+                    name = nodes[stack[k]].tag
+                    if name in shut:
+                        cut(k)
+                    elif name in BOUNDS:
+                        break
             tokens = sorted({_TOKEN_AT[w] for m in _ATTR.finditer(found[3]) for w in _WORD.findall((m[2] or m[3] or m[4] or "").lower()) if w in _TOKEN_AT}) if found[3] else []
             up = stack[-1]
             nodes[up].kids += 1
@@ -140,6 +156,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             said = _KEEP.search(found[3]) if "data-keep" in found[3] else None
             node.keep = int(said[1]) if said else nodes[up].keep
             stack.append(len(nodes))
+            opened[tag] = opened.get(tag, 0) + 1
             nodes.append(node)
     flush()
     return nodes, blocks
@@ -154,7 +171,7 @@ def features(nodes: list[Node]) -> np.ndarray:
     for k in range(n - 1, 0, -1):
         sub[up[k]] += sub[k]
     total, nested = max(1.0, sub[0, 0]), np.array([x.depth for x in nodes], float)
-    out = np.zeros((n, WIDTH))
+    out = np.zeros((n, WIDTH), np.float32)
     chars = sub[:, 0]
     out[:, 0], out[:, 1], out[:, 2] = nested, np.log1p(chars), chars / total
     out[:, 3] = sub[:, 1] / np.maximum(1, chars)
@@ -196,6 +213,8 @@ def features(nodes: list[Node]) -> np.ndarray:
 # ---- boosted trees --------------------------------------------------------------------
 
 DEPTH, TREES, RATE, BINS, LEAF = 5, 60, 0.25, 24, 8
+#: Nodes whose features are held at once, but for a larger page.
+NODES = 10_000
 
 
 class Boosted:
@@ -372,15 +391,18 @@ def decode(nodes: list[Node], odds: np.ndarray) -> np.ndarray:
 
 def extract(pages: list[str], model: Boosted) -> list[str]:
     """Main text of each whole page."""
-    parsed = [parse(p) for p in pages]
-    if not parsed:
-        return []
-    odds = model.log_odds(np.concatenate([features(n) for n, _ in parsed]))
     out, at = [], 0
-    for nodes, blocks in parsed:
-        kept = decode(nodes, odds[at : at + len(nodes)])
-        at += len(nodes)
-        out.append("\n\n".join(t for k, t in blocks if kept[k]))
+    while at < len(pages):
+        parsed, n = [], 0
+        while at < len(pages) and n < NODES:
+            parsed.append(parse(pages[at]))
+            n += len(parsed[-1][0])
+            at += 1
+        odds, done = model.log_odds(np.concatenate([features(nodes) for nodes, _ in parsed])), 0
+        for nodes, blocks in parsed:
+            kept = decode(nodes, odds[done : done + len(nodes)])
+            done += len(nodes)
+            out.append("\n\n".join(t for k, t in blocks if kept[k]))
     return out
 
 
@@ -392,8 +414,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 200):
-                part = pdf.iloc[at : at + 200]
+            for at in range(0, len(pdf), 500):
+                part = pdf.iloc[at : at + 500]
                 out = part[["page_id", *keep]].copy()
                 out["text"] = extract(part["_html"].tolist(), model)
                 out["n_chars"] = out["text"].str.len().astype("int64")
