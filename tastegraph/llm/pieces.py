@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Characters of texts that are encoded together.
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 1 << 20
 #: White space but the blank and the line end.
 RARE = re.compile("[\\t\\x0b-\\r\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
 

@@ -132,7 +132,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, sizes) for blocks of texts in order; ids are those of all texts of the block, each closed with the end id."""
-        for part in blocks(texts):
+        for part in blocks(texts, 4 << 20):
             pieces, counts = self._pieces(part)
             ids, until = self.memo.gather(pieces, self.learn)
             # The line end before each text gives its place to the end id of the text before.
