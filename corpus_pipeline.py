@@ -1,7 +1,14 @@
 """Corpus pipeline: five stages over ``documents``, each written and read again.
 
 Quality, line dedup, near-duplicate removal and decontamination return the columns of
-documents; the last returns each document's token digests.
+documents, extra ones of any name included; the last returns each document's token digests.
+
+Nulls, blanks: a null text counts as empty everywhere and stays null where it is kept; empty
+texts are scored like others, and of those that are kept one stays, as near duplicates of each
+other. A document whose lines are all repeats goes on with an empty text. A null doc_id stays
+where no row of its group has an id; rows that share an id are kept and dropped each for its own
+text. Repeated rows keep their first copy: the least (doc_id, key) of a group. Without labels
+every score is 0.5, and all documents stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
