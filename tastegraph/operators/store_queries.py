@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tastegraph.functions import scores as S
 from tastegraph.operators import attach, evaluate, factors, models
 from tastegraph.operators import views as V
+from tastegraph.operators.recommend import recommend
 from tastegraph.operators.registry import AIRING_MODEL_SQL, BASE_SQL, MODEL_SQL, QUEUE_SQL, RECS_SQL, TAG_SQL, Views, query
 from tastegraph.operators.views import ALTERNATES_SQL, AS_OF, DAY, GENRES_SQL, ITEMS_SQL, OTHER_ITEMS_SQL, RATINGS_SQL, SHOWN_SQL, SIDE_SQL, TITLES_SQL, USERS_SQL
 from tastegraph.plans.scratch import materialize, scratch_path
@@ -317,6 +318,19 @@ def _fit(v: Views) -> tuple[DataFrame, DataFrame]:
     return _FITS[key]
 
 
+@query(f"{RECS_SQL} SELECT * FROM recs")
+def fallback_recommendations(v: Views) -> DataFrame:
+    """What the factor recommender gives while there are no factors."""
+    return recommend("factor-users", v.ratings, v.scored, v.stats, v.items)
+
+
+@query(f"{BASE_SQL}, b AS (SELECT user_id, CASE WHEN completed<180 THEN completed//15 ELSE 8+completed//45 END AS bucket FROM stats), a AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY user_id) AS at FROM b) SELECT user_id, bucket::BIGINT AS bucket, row_number() OVER (ORDER BY at, bucket)::BIGINT AS turn FROM a")
+def interleaved_users(v: Views) -> DataFrame:
+    """Users of all activity buckets in turn."""
+    rows = v.stats.select("user_id", S.activity_bucket(F.col("completed")).cast("long").alias("bucket"))
+    return evaluate.interleaved(rows, "bucket", ["user_id"])
+
+
 @query()
 def als_recommendations(v: Views) -> DataFrame:
     users, items = _fit(v)
