@@ -3,7 +3,7 @@
 A tolerant scan builds the tree of structural elements (inline elements only count as
 links or emphasis of the text around them). For each node the trees see its tag, depth,
 place among its siblings, share of the page's text, link and tag density of its subtree,
-text of its neighbours and the tokens of its class, id and role attributes. They are
+text of its neighbours, the tokens of its class, id and role attributes and whether it has any. They are
 trained in numpy on seeded template pages whose nodes are labelled. Decoding takes the
 most likely labelling in which a dropped node drops its whole subtree, so an ancestor and
 a descendant never contradict each other.
@@ -56,16 +56,16 @@ TOKENS = (
     "comment comments reply replies discussion disqus respond author meta date byline pagination pager content main article post entry story body text page wrapper container"
 ).split()
 _TAG_AT, _TOKEN_AT = {t: k for k, t in enumerate(TAGS)}, {t: k for k, t in enumerate(TOKENS)}
-WIDTH = 16 + 2 * (len(TAGS) + 1) + 2 * len(TOKENS)
+WIDTH = 17 + 2 * (len(TAGS) + 1) + 2 * len(TOKENS)
 
 
 class Node:
-    __slots__ = ("tag", "up", "depth", "tokens", "kids", "chars", "links", "words", "marks", "n_inline", "begin", "end", "keep")
+    __slots__ = ("tag", "up", "depth", "tokens", "kids", "chars", "links", "words", "marks", "n_inline", "begin", "end", "keep", "named")
 
     def __init__(self, tag: str, up: int, depth: int, tokens: list[int]):
         self.tag, self.up, self.depth, self.tokens = tag, up, depth, tokens
         self.kids, self.chars, self.links, self.words, self.marks, self.n_inline, self.begin, self.end = 0, 0, 0, 0, 0, 0, 0, 0
-        self.keep = 1
+        self.keep, self.named = 1, False
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -152,6 +152,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             up = stack[-1]
             nodes[up].kids += 1
             node = Node(tag, up, len(stack), tokens)
+            node.named = bool(found[3]) and _ATTR.search(found[3]) is not None
             node.begin = node.end = total
             said = _KEEP.search(found[3]) if "data-keep" in found[3] else None
             node.keep = int(said[1]) if said else nodes[up].keep
@@ -196,8 +197,9 @@ def features(nodes: list[Node]) -> np.ndarray:
         last[p] = k
     own_tag = np.array([_TAG_AT.get(x.tag, len(TAGS)) for x in nodes])
     tags, above = out[:, 16 : 16 + len(TAGS) + 1], out[:, 17 + len(TAGS) : 18 + 2 * len(TAGS)]
-    names, over = out[:, 18 + 2 * len(TAGS) : 18 + 2 * len(TAGS) + len(TOKENS)], out[:, 18 + 2 * len(TAGS) + len(TOKENS) :]
+    names, over = out[:, 18 + 2 * len(TAGS) : 18 + 2 * len(TAGS) + len(TOKENS)], out[:, 18 + 2 * len(TAGS) + len(TOKENS) : -1]
     tags[np.arange(n), own_tag] = 1
+    out[:, -1] = [x.named for x in nodes]
     for k, x in enumerate(nodes):
         if x.tokens:
             names[k, x.tokens] = 1
@@ -370,7 +372,7 @@ def train(pages: int = 800, seed: int = 3) -> Boosted:
     for _ in range(pages):
         x, y, _ = labelled_nodes(template_page(rng))
         if rng.random() < 0.15:
-            x[:, 18 + 2 * len(TAGS) :] = 0
+            x[:, 18 + 2 * len(TAGS) : -1] = 0
         xs.append(x)
         ys.append(y)
     return Boosted().fit(np.concatenate(xs), np.concatenate(ys))
