@@ -198,12 +198,20 @@ def queue_after_requests(v: Views) -> DataFrame:
     return refresh.positions(refresh.enqueue(v.queue(), asked))
 
 
-@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type='view'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type='signup') SELECT 'u'||user_id AS username FROM a WHERE user_id NOT IN (SELECT user_id FROM b)")
+@query("SELECT DISTINCT 'u'||o_custkey AS username FROM orders WHERE o_custkey NOT IN (SELECT user_id FROM events)")
 def new_names(v: Views) -> DataFrame:
     """Names seen that the store lacks."""
-    name = F.concat(F.lit("u"), "user_id").alias("username")
-    e = v.t("events")
-    return e.where("event_type = 'view'").select(name).distinct().join(e.where("event_type = 'signup'").select(name), "username", "left_anti")
+    seen = v.t("orders").select(F.concat(F.lit("u"), "o_custkey").alias("username")).distinct()
+    return seen.join(v.t("events").select(F.concat(F.lit("u"), "user_id").alias("username")), "username", "left_anti")
+
+
+@query(f"WITH {USERS_SQL}, mine AS (SELECT user_id, username, last_change-CASE WHEN user_id%3=0 THEN 100 ELSE 0 END AS last_change FROM users WHERE user_id%7<>0), theirs AS (SELECT user_id, upper(username) AS username, last_change-CASE WHEN user_id%3=1 THEN 100 ELSE 0 END AS last_change FROM users) SELECT user_id, CASE WHEN m.last_change IS NULL OR t.last_change>m.last_change THEN t.username ELSE m.username END AS username, coalesce(greatest(m.last_change, t.last_change), t.last_change)::BIGINT AS last_change FROM theirs t LEFT JOIN mine m USING (user_id)")
+def users_after_pull(v: Views) -> DataFrame:
+    """Two copies of the users, each ahead of the other for a third of them and one without a seventh, after one pulls from the other."""
+    behind = lambda k: F.col("last_change") - F.when(F.col("user_id") % 3 == k, 100).otherwise(0)
+    mine = v.users.where("user_id % 7 <> 0").select("user_id", "username", behind(0).alias("last_change"))
+    theirs = v.users.select("user_id", F.upper("username").alias("username"), behind(1).alias("last_change"))
+    return refresh.pulled(mine, theirs, "user_id", "last_change")
 
 
 # ---- readers and writers -------------------------------------------------------------------
@@ -324,7 +332,7 @@ def fallback_recommendations(v: Views) -> DataFrame:
     return recommend("factor-users", v.ratings, v.scored, v.stats, v.items)
 
 
-@query(f"{BASE_SQL}, b AS (SELECT user_id, CASE WHEN completed<180 THEN completed//15 ELSE 8+completed//45 END AS bucket FROM stats), a AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY user_id) AS at FROM b) SELECT user_id, bucket::BIGINT AS bucket, row_number() OVER (ORDER BY at, bucket)::BIGINT AS turn FROM a")
+@query(f"{BASE_SQL}, b AS (SELECT user_id, CASE WHEN completed<180 THEN completed//15 ELSE 8+completed//45 END AS bucket FROM stats), a AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY user_id) AS pos FROM b) SELECT user_id, bucket::BIGINT AS bucket, row_number() OVER (ORDER BY pos, bucket)::BIGINT AS turn FROM a")
 def interleaved_users(v: Views) -> DataFrame:
     """Users of all activity buckets in turn."""
     rows = v.stats.select("user_id", S.activity_bucket(F.col("completed")).cast("long").alias("bucket"))
@@ -396,7 +404,7 @@ def als_hidden_rmse(v: Views) -> DataFrame:
 @query()
 def als_grid(v: Views) -> DataFrame:
     """The error on hidden items by rank, regularisation and rounds."""
-    return factors.grid_search(v.ratings, [10, 20], [0.1, 0.3], 8)
+    return factors.grid_search(v.ratings, [10, 20], [0.1], 8)
 
 
 @query()
@@ -408,7 +416,7 @@ def projected_item_similarity(v: Views) -> DataFrame:
 def projection_stability(v: Views) -> DataFrame:
     """Share of neighbours that projections of two seeds have in common, by the number of dimensions."""
     found, none = None, v.items.select("item_id", F.lit(None).cast("long").alias("group_id"))
-    for dims in (500, 2000):
+    for dims in (250, 1000):
         one, two = (factors.item_neighbours(factors.sign_projection(v.fit(), dims, seed), none) for seed in (1, 2))
         row = evaluate.neighbour_stability(one, two).withColumn("dims", F.lit(dims))
         found = row if found is None else found.unionByName(row)

@@ -48,7 +48,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(size % 10 == 0, IN_PROGRESS).otherwise(FINISHED).alias("status"),
         size.alias("episodes"),
         F.when(size % 17 != 0, 694224000 + day * DAY).alias("start_at"),
-        F.when((size % 17 != 0) & (size % 9 != 0), 694224000 + (day + size * 30) * DAY).alias("end_at"),
+        F.when((size % 17 != 0) & (size % 9 != 0), 694224000 + (day + size * 6) * DAY).alias("end_at"),
         F.when(size % 11 == 0, "").otherwise(F.concat(F.lit("https://img.example/"), "p_partkey", F.lit(".jpg"))).alias("image"),
         (size == 13).alias("restricted"),
         "group_id",
@@ -154,7 +154,7 @@ RATINGS_SQL = """rows0 AS (SELECT o_custkey AS user_id, l_partkey AS item_id, l_
   FROM lineitem JOIN orders ON l_orderkey=o_orderkey),
 ratings AS (SELECT user_id, item_id, min(status)::INT AS status, max(CASE WHEN l_discount=0 OR status=6 THEN 0 ELSE ceil(l_quantity/5) END)::INT AS rating FROM rows0 GROUP BY ALL)"""
 ITEMS_SQL = """items AS (SELECT p_partkey AS item_id, p_name||' '||p_brand AS title, p_type AS genre, (1+regexp_extract(p_brand,'[0-9]+')::INT%6)::INT AS type, CASE WHEN p_size%10=0 THEN 1 ELSE 2 END AS status, p_size AS episodes,
-  CASE WHEN p_size%17<>0 THEN 694224000+(p_partkey*7919%2600)*86400 END AS start_at, CASE WHEN p_size%17<>0 AND p_size%9<>0 THEN 694224000+(p_partkey*7919%2600+p_size*30)*86400 END AS end_at,
+  CASE WHEN p_size%17<>0 THEN 694224000+(p_partkey*7919%2600)*86400 END AS start_at, CASE WHEN p_size%17<>0 AND p_size%9<>0 THEN 694224000+(p_partkey*7919%2600+p_size*6)*86400 END AS end_at,
   CASE WHEN p_size%11=0 THEN '' ELSE 'https://img.example/'||p_partkey||'.jpg' END AS image, p_size=13 AS restricted,
   min(p_partkey) OVER (PARTITION BY p_name,p_brand) AS group_id, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey)::INT AS rank FROM part)"""
 OTHER_ITEMS_SQL = "others AS (SELECT s_suppkey AS item_id, s_name AS title, 'https://img.example/o'||s_suppkey||'.jpg' AS image FROM supplier)"

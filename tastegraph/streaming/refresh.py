@@ -66,6 +66,12 @@ def changed_since(rows: DataFrame, thresholds: DataFrame, key: str, column: str
     return rows.join(thresholds.select(key, "threshold"), key, "left").where(F.col(column) > F.coalesce("threshold", F.lit(-1))).drop("threshold")
 
 
+def pulled(local: DataFrame, remote: DataFrame, key: str, time: str) -> DataFrame:
+    """``local`` after a pull: rows that the remote side has newer, or alone, take their place; the rest stays."""
+    news = changed_since(remote, local.select(key, F.col(time).alias("threshold")), key, time)
+    return local.join(news, key, "left_anti").unionByName(news.select(*local.columns))
+
+
 def one_owner(users: DataFrame) -> DataFrame:
     """Blank all but the newest holder of each name."""
     w = W.partitionBy("username").orderBy(F.desc("last_update"), F.desc("user_id"))
