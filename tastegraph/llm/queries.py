@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegraph.llm import ann, bpe, decontam, html_extract, lines, pii, quality, simhash, token_files, toxicity
+from tastegraph.llm import ann, bpe, byte_bpe, decontam, html_extract, lines, pii, quality, simhash, token_files, toxicity
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,8 +60,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.code_documents(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.code_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_token_files, op4_quality, op5_ann, op6_toxicity, op7_pii, op8_decontamination, op9_html_extract, op10_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_token_files, op4_quality, op5_ann, op6_toxicity, op7_pii, op8_decontamination, op9_html_extract, op10_bpe, op11_byte_bpe)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
