@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegraph.llm import ann, bpe, byte_bpe, decontam, html_extract, lines, pii, quality, simhash, token_files, toxicity
+from tastegraph.llm import ann, bpe, byte_bpe, decontam, html_extract, lines, phrases, pii, quality, simhash, token_files, toxicity
+from tastegraph.llm.phrases_sql import COLLOCATIONS_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -66,10 +67,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.code_documents(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_token_files, op4_quality, op5_ann, op6_toxicity, op7_pii, op8_decontamination, op9_html_extract, op10_bpe, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_token_files, op4_quality, op5_ann, op6_toxicity, op7_pii, op8_decontamination, op9_html_extract, op10_bpe, op11_byte_bpe, op12_phrases)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    """None of these has an equivalent in DuckDB's SQL; tests/llm compares them with brute force."""
-    return {}
+    """Those that DuckDB's SQL can express; tests/llm compares the others with brute force."""
+    return {"op12_phrases": COLLOCATIONS_SQL}
