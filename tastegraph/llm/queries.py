@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tastegraph.llm import ann, bpe, byte_bpe, decontam, html_extract, lines, phrases, pii, quality, simhash, token_files, toxicity
+from tastegraph.llm import ann, bpe, byte_bpe, conversations, decontam, html_extract, lines, phrases, pii, quality, simhash, token_files, toxicity
 from tastegraph.llm.phrases_sql import COLLOCATIONS_SQL
 
 
@@ -71,8 +71,12 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(_table(spark, sf_dir, "conversations"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_token_files, op4_quality, op5_ann, op6_toxicity, op7_pii, op8_decontamination, op9_html_extract, op10_bpe, op11_byte_bpe, op12_phrases)}
+    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_token_files, op4_quality, op5_ann, op6_toxicity, op7_pii, op8_decontamination, op9_html_extract, op10_bpe, op11_byte_bpe, op12_phrases, op13_conversations)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
