@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documents (about) whose words are counted to choose the common ones, and how many of these are kept.
-SAMPLE_DOCS, COMMON_WORDS = 20_000, 131_072
+SAMPLE_DOCS, COMMON_WORDS = 20_000, 32_768
 #: A token longer than this many bytes is a candidate wherever its first bytes stand.
 DEPTH = 6
 #: Stands before ids as characters; ids stay below the surrogates.
