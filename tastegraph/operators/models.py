@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tastegraph.functions.scores import SCALE, similar_activity
+from tastegraph.functions.scores import SCALE
+from tastegraph.operators import similarity
 from tastegraph.operators.views import COMPLETED, PLANNED, WATCHING, finished, known, old
 
 #: Decimals at which float sums are compared, so that their order of addition does not decide a rank.
@@ -82,21 +83,27 @@ def item_cosine(scored: DataFrame, k: int = 30, groups: DataFrame | None = None)
 
 
 def _rated_pairs(scored: DataFrame, stats: DataFrame, targets: DataFrame | None) -> DataFrame:
-    """``user_id, other_id, q, q2`` for each item that two users of like activity both finished or dropped."""
-    rows = scored.select("user_id", "item_id", "q").join(stats.select("user_id", "completed"), "user_id")
+    """``user_id, other_id, q, q2`` for each item that two users of like activity both finished or dropped; without ``targets`` each pair once."""
+    rows = similarity._lists(scored, stats)
     left = rows if targets is None else rows.join(targets.select("user_id"), "user_id", "left_semi")
-    other = rows.select(F.col("user_id").alias("other_id"), "item_id", F.col("q").alias("q2"), F.col("completed").alias("cb"))
-    met = left.join(other, "item_id").where((F.col("user_id") != F.col("other_id")) & similar_activity(F.col("completed"), F.col("cb")))
-    return met.select("user_id", "other_id", F.col("q").cast("long").alias("q"), F.col("q2").cast("long").alias("q2"))
+    return similarity.item_pairs(left, rows, once=targets is None)
+
+
+def _both_ways(pairs: DataFrame, targets: DataFrame | None, swap: dict[str, str]) -> DataFrame:
+    """Sums of pairs that came once, for either user; ``swap`` names the columns that change places."""
+    if targets is not None:
+        return pairs
+    change = {"user_id": "other_id", "other_id": "user_id", **swap}
+    return pairs.unionByName(pairs.select(*[F.col(change.get(c, c)).alias(c) for c in pairs.columns]))
 
 
 def user_cosine(scored: DataFrame, stats: DataFrame, targets: DataFrame | None = None, k: int = 100) -> DataFrame:
     """``user_id, rk, other_id, score``: the nearest users of each target (everyone, if None), by cosine over finished and dropped items.
 
-    Pairs of unlike activity are left out before anything is summed.
+    Pairs of unlike activity never meet. ``similarity.pruned_user_cosine`` gives the same rows where lists share popular items.
     """
-    norm = scored.groupBy("user_id").agg(F.sum(F.col("q").cast("long") * F.col("q")).alias("nn")).where("nn > 0")
-    dots = _rated_pairs(scored, stats, targets).groupBy("user_id", "other_id").agg(F.sum(F.col("q") * F.col("q2")).alias("dot"))
+    norm = similarity.norms(scored)
+    dots = _both_ways(_rated_pairs(scored, stats, targets).groupBy("user_id", "other_id").agg(F.sum(F.col("q") * F.col("q2")).alias("dot")), targets, {})
     both = dots.join(norm, "user_id").join(norm.select(F.col("user_id").alias("other_id"), F.col("nn").alias("mm")), "other_id")
     score = F.round(F.col("dot") / F.sqrt(F.col("nn").cast("double") * F.col("mm")), DIGITS)
     return top_k(both.select("user_id", "other_id", score.alias("score")), "user_id", "score", "other_id", k).select("user_id", "rk", "other_id", "score")
@@ -107,6 +114,7 @@ def user_pearson(scored: DataFrame, stats: DataFrame, targets: DataFrame | None
     size = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("la"))
     x, y = F.col("q"), F.col("q2")
     sums = _rated_pairs(scored, stats, targets).groupBy("user_id", "other_id").agg(F.count(F.lit(1)).alias("n"), F.sum(x * y).alias("xy"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    sums = _both_ways(sums, targets, {"xx": "yy", "yy": "xx"})
     both = sums.where("xx > 0 and yy > 0").join(size, "user_id").join(size.select(F.col("user_id").alias("other_id"), F.col("la").alias("lb")), "other_id")
     both = both.where((F.floor(100 * F.col("n") / F.col("la")) >= min_common) & (F.floor(100 * F.col("n") / F.col("lb")) >= min_common))
     score = F.round(F.col("xy") / F.sqrt(F.col("xx").cast("double") * F.col("yy")), DIGITS)

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph.functions import scores as S
-from tastegraph.operators import evaluate, factors, models, search
+from tastegraph.operators import evaluate, factors, models, search, similarity
 from tastegraph.operators import views as V
 from tastegraph.operators.registry import (
     AIRING_MODEL_SQL, BASE_SQL, COOC_SQL, MODEL_SQL, NEAR_SQL, ORACLE, QUERIES, QUEUE_SQL, RECS_SQL, SIMILAR_SQL, TAG_SQL, VOTES_SQL, Views, model_sql, query, scored_sql, stats_sql, tag_sql, votes_sql,
 )
 from tastegraph.operators.views import AS_OF, ITEMS_SQL, TITLES_SQL
 from tastegraph.plans.components import connected_components
+from tastegraph.plans.scratch import materialize
 from tastegraph.streaming import refresh
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -47,6 +48,12 @@ def user_cosine(v: Views) -> DataFrame:
     return v.near()
 
 
+@query(f"{NEAR_SQL} SELECT * FROM near")
+def pruned_user_cosine(v: Views) -> DataFrame:
+    """The rows of ``user_cosine`` by an inverted index with prefixes."""
+    return similarity.pruned_user_cosine(v.scored, v.stats)[0]
+
+
 @query(f"""{BASE_SQL}, size AS (SELECT user_id, count(*) AS l FROM scored GROUP BY 1) SELECT user_id, rk, other_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, other_id)::INT AS rk FROM (
   SELECT d.user_id, d.other_id, round(xy/sqrt(xx::DOUBLE*yy),9) AS score FROM (SELECT x.user_id, y.user_id AS other_id, count(*) AS n, sum(x.q::BIGINT*y.q)::BIGINT AS xy, sum(x.q::BIGINT*x.q)::BIGINT AS xx, sum(y.q::BIGINT*y.q)::BIGINT AS yy FROM scored x JOIN scored y ON x.item_id=y.item_id AND x.user_id<>y.user_id GROUP BY 1,2) d
   JOIN size a ON a.user_id=d.user_id JOIN size b ON b.user_id=d.other_id JOIN stats sa ON sa.user_id=d.user_id JOIN stats sb ON sb.user_id=d.other_id
@@ -101,7 +108,8 @@ def planned_recall(v: Views) -> DataFrame:
 
 @query(f"{VOTES_SQL}, top AS (SELECT * FROM recs WHERE rk<=30) SELECT (SELECT count(*) FROM top) AS n, round(2*coalesce(sum(m.score),0)/(SELECT count(*) FROM top),6) AS similarity FROM top a JOIN top b ON a.user_id=b.user_id AND a.rk<b.rk JOIN cooc m ON m.item_id=a.item_id AND m.similar_id=b.item_id")
 def diversification(v: Views) -> DataFrame:
-    return evaluate.diversification(v.votes(), v.model())
+    model = v.model()
+    return evaluate.diversification(models.recommend_from_items(v.scored, v.ratings, model, v.restricted), model)
 
 
 @query(f"{RECS_SQL} SELECT count(*) AS n, round(avg(coalesce(i.rank,0)),6) AS mean_rank FROM recs LEFT JOIN items i USING (item_id) WHERE rk<=40")
@@ -127,9 +135,9 @@ full_lists AS (SELECT c.user_id, c.out, r.item_id, r.status, r.rating FROM cases
 SELECT hits, total, round(hits/total,6) AS recall FROM (SELECT count(*) FILTER (place<=30) AS hits, count(*) AS total FROM cases c LEFT JOIN placed p ON p.user_id=c.user_id AND p.out=c.out AND p.item_id=c.out)""")
 def single_item_recall(v: Views) -> DataFrame:
     """Leave-one-out, batched: each (user, held item) is a list of its own, tagged by the user's full list."""
-    by = ("user_id", "out")
-    cases = evaluate.middle_and_high(v.scored).withColumnRenamed("item_id", "out")
-    full = v.ratings.join(cases, "user_id")
+    by, v = ("user_id", "out"), v.settle()
+    cases = materialize(evaluate.middle_and_high(v.scored).withColumnRenamed("item_id", "out"), "cases")
+    full = materialize(v.ratings.join(cases, "user_id"), "full")
     less = models.without(full, cases.withColumn("item_id", F.col("out")), by)
     recs = models.recommend_from_items(S.scored(less, by=by), less, v.model(), v.restricted, by=by)
     return evaluate.hits(models.tagged(recs, full, v.items, by), cases.withColumn("item_id", F.col("out")), by=by)
@@ -183,7 +191,7 @@ def factor_neighbours(v: Views) -> DataFrame:
 def similar_activity_users(v: Views) -> DataFrame:
     """Counts by number of finished items first, so the pairing is of distinct counts, not of users."""
     counts = v.stats.groupBy("completed").agg(F.count(F.lit(1)).alias("m"))
-    fit = counts.select(F.col("completed").alias("ca")).join(counts, S.similar_activity(F.col("ca"), F.col("completed"))).groupBy("ca").agg(F.sum("m").alias("m"))
+    fit = similarity.alike(counts.select("completed"), counts.select(F.col("completed").alias("completed_b"), "m")).groupBy(F.col("completed").alias("ca")).agg(F.sum("m").alias("m"))
     # Each user meets the counts near their own; that includes themselves wherever a count is near itself.
     own = F.when(S.similar_activity(F.col("ca"), F.col("ca")), 1).otherwise(0)
     return v.stats.select("user_id", F.col("completed").alias("ca")).join(fit, "ca").select("user_id", "ca", (F.col("m") - own).alias("others")).where("others > 0")

@@ -11,6 +11,7 @@ from tastegraph.functions import scores as S
 from tastegraph.operators import models
 from tastegraph.operators import views as V
 from tastegraph.operators.views import ITEMS_SQL, RATINGS_SQL, USERS_SQL
+from tastegraph.plans.scratch import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,34 +85,52 @@ class Views:
     def __init__(self, spark: SparkSession, d: str):
         self.spark, self.d = spark, d
         self.ratings, self.items, self.users = V.ratings(spark, d), V.items(spark, d), V.users(spark, d)
+        self._settled = False
+        self._derive()
+
+    def _derive(self) -> None:
         self.stats = S.user_stats(self.ratings)
         self.scored = S.scored(self.ratings)
         self.restricted = self.items.where("restricted")
         self.shown = V.catalogue(self.items)
 
+    def settle(self) -> Views:
+        """Write what a query reads many times; the tables are then read once."""
+        if not self._settled:
+            self.ratings, self.items, self.users = materialize(self.ratings, "ratings"), materialize(self.items, "items"), materialize(self.users, "users")
+            self._derive()
+            self.stats, self.scored, self._settled = materialize(self.stats, "stats"), materialize(self.scored, "scored"), True
+        return self
+
     def t(self, name: str) -> DataFrame:
         return V.table(self.spark, self.d, name)
 
     def fit(self) -> DataFrame:
         """Ratings of the users that models are built on."""
+        self.settle()
         return self.scored.join(models.active(self.stats, self.users), "user_id", "left_semi")
 
     def near(self) -> DataFrame:
-        return models.user_cosine(self.scored, self.stats)
+        self.settle()
+        return materialize(models.user_cosine(self.scored, self.stats), "near")
 
     def model(self) -> DataFrame:
-        return models.co_occurrence(self.fit(), self.items)
+        self.settle()
+        return materialize(models.co_occurrence(materialize(self.fit(), "fit"), self.items), "model")
 
     def model_in_progress(self) -> DataFrame:
+        self.settle()
         now = self.items.where(F.col("status") == V.IN_PROGRESS).select("item_id")
         watching = self.ratings.where(F.col("status") == V.WATCHING).join(now, "item_id", "left_semi")
         return models.co_occurrence(self.fit(), self.items, watching.select("user_id", "item_id"), k=15)
 
     def recs(self) -> DataFrame:
-        return models.recommend_from_users(self.near(), self.scored, self.ratings, self.restricted)
+        near = self.near()
+        return models.recommend_from_users(near, self.scored, self.ratings, self.restricted)
 
     def votes(self) -> DataFrame:
-        return models.recommend_from_items(self.scored, self.ratings, self.model(), self.restricted)
+        model = self.model()
+        return models.recommend_from_items(self.scored, self.ratings, model, self.restricted)
 
     def titles(self) -> DataFrame:
         return V.titles(self.shown, V.alternate_titles(self.spark, self.d))
