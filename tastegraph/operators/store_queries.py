@@ -13,7 +13,7 @@ from tastegraph.operators.registry import AIRING_MODEL_SQL, BASE_SQL, MODEL_SQL,
 from tastegraph.operators.views import ALTERNATES_SQL, AS_OF, DAY, GENRES_SQL, ITEMS_SQL, OTHER_ITEMS_SQL, RATINGS_SQL, SHOWN_SQL, SIDE_SQL, TITLES_SQL, USERS_SQL
 from tastegraph.plans.scratch import materialize, scratch_path
 from tastegraph.sources import lists, models as stored, pages
-from tastegraph.streaming import changes, refresh
+from tastegraph.streaming import changes, refresh, store
 
 STORE_SQL = f"WITH {ITEMS_SQL}, {SHOWN_SQL}, {SIDE_SQL}, {USERS_SQL}, {OTHER_ITEMS_SQL}"
 
@@ -214,6 +214,34 @@ def users_after_pull(v: Views) -> DataFrame:
     return refresh.pulled(mine, theirs, "user_id", "last_change")
 
 
+@query(f"""WITH {ITEMS_SQL}, c AS (SELECT l_partkey AS item_id, arg_max('v'||l_orderkey||'.'||l_linenumber, struct_pack(t:=epoch(l_shipdate)::BIGINT, o:=l_orderkey, n:=l_linenumber)) AS title, max(epoch(l_shipdate))::BIGINT AS t FROM lineitem GROUP BY 1) SELECT item_id, coalesce(c.title,i.title) AS title, coalesce(t,0)::BIGINT AS "at" FROM items i LEFT JOIN c USING (item_id)""")
+def stored_upserts(v: Views) -> DataFrame:
+    """Items in a stored table after a stream of changes, each order line one, was applied to it by batches."""
+    folder = scratch_path(v.spark, "upserts")
+    schema = "item_id long, title string, at long"
+    table = store.BucketedTable(v.spark, f"{folder}/items", "item_id", schema, 16).create(v.items.select("item_id", "title", F.lit(0).cast("long").alias("at")))
+    full = f"{schema}, l_orderkey long, l_linenumber int"
+    at = F.unix_seconds(F.col("l_shipdate").cast("timestamp"))
+    changes_of = v.t("lineitem").select(F.col("l_partkey").alias("item_id"), F.concat(F.lit("v"), "l_orderkey", F.lit("."), "l_linenumber").alias("title"), at.alias("at"), "l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"))
+    changes_of.repartitionByRange(4, "at").write.parquet(f"{folder}/changes")
+    rows = v.spark.readStream.schema(full).option("maxFilesPerTrigger", 2).parquet(f"{folder}/changes")
+    store.upsert_stream(rows, table, ["at", "l_orderkey", "l_linenumber"], f"{folder}/at", newer="at").awaitTermination()
+    return table.rows()
+
+
+@query(f"WITH {USERS_SQL}, mine AS (SELECT user_id, username, last_change-CASE WHEN user_id%3=0 THEN 100 ELSE 0 END AS last_change FROM users WHERE user_id%7<>0), theirs AS (SELECT user_id, CASE WHEN user_id%3=2 THEN username ELSE upper(username) END AS username, last_change-CASE WHEN user_id%3=1 THEN 100 ELSE 0 END AS last_change FROM users WHERE user_id%11<>0), every AS (SELECT * FROM mine UNION ALL SELECT * FROM theirs), newest AS (SELECT user_id, arg_max(username, last_change) AS username, max(last_change) AS last_change FROM every GROUP BY 1) SELECT side, user_id, username, last_change FROM newest, (VALUES ('here'), ('there')) s(side)")
+def two_way_sync(v: Views) -> DataFrame:
+    """Two stored copies of the users, each ahead for a third of them and short of some, after a pass each way."""
+    folder, schema = scratch_path(v.spark, "sync"), "user_id long, username string, last_change long"
+    behind = lambda k: (F.col("last_change") - F.when(F.col("user_id") % 3 == k, 100).otherwise(0)).alias("last_change")
+    name = F.when(F.col("user_id") % 3 == 2, F.col("username")).otherwise(F.upper("username")).alias("username")
+    here = store.BucketedTable(v.spark, f"{folder}/here", "user_id", schema, 8).create(v.users.where("user_id % 7 <> 0").select("user_id", "username", behind(0)))
+    there = store.BucketedTable(v.spark, f"{folder}/there", "user_id", schema, 8).create(v.users.where("user_id % 11 <> 0").select("user_id", name, behind(1)))
+    store.sync(here, there, "last_change", store.Marks(v.spark, f"{folder}/out"))
+    store.sync(there, here, "last_change", store.Marks(v.spark, f"{folder}/in"))
+    return here.rows().withColumn("side", F.lit("here")).unionByName(there.rows().withColumn("side", F.lit("there")))
+
+
 # ---- readers and writers -------------------------------------------------------------------
 
 
