@@ -80,6 +80,45 @@ def test_neighbours_in_blocks_are_those_of_all_pairs(spark):
             assert [got.get((u, k + 1)) for k in range(len(fit))] == [v for _, v in fit] and (u, len(fit) + 1) not in got
 
 
+def test_blocks_that_cannot_help_are_skipped(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 6)) * np.exp(rng.normal(size=(900, 1)) * 1.5)
+    x[5] = 0
+    ids = list(range(900))
+    left = spark.createDataFrame([(i, x[i].tolist(), [i]) for i in ids], "a long, features array<double>, skip array<long>")
+    right = spark.createDataFrame([(i, x[i].tolist()) for i in ids], "b long, features array<double>")
+    for metric in ("dot", "cosine"):
+        report: list = []
+        got = {(r["a"], r["rk"]): (r["b"], r["score"]) for r in factors.block_top(left, right, 7, 64, metric, report=report).collect()}
+        y = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300) if metric == "cosine" else x
+        score = np.round(y @ y.T, 9)
+        for i in ids:
+            order = [o for o in np.lexsort((ids, -score[i])) if o != i][:7]
+            assert [got[i, r + 1][0] for r in range(7)] == order, (metric, i)
+        seen = report[0].first()
+        assert seen["pairs"] == 900 * 15 and (metric == "cosine" or seen["met"] < 0.4 * seen["pairs"]), seen
+
+
+def test_rounds_go_on_from_stored_factors(spark, rated):
+    scored = S.scored(rated)
+    runs = list(factors.als_rounds(scored, 4, 0.1, 6, every=2))
+    assert [r[0] for r in runs] == [2, 4, 6] and set(runs[-1][3]) == {"users", "items"} and min(runs[-1][3].values()) > 0
+    error = [factors.rmse(scored, u, i, every=1).first()["rmse"] for _, u, i, _ in runs]
+    assert error[2] <= error[1] <= error[0] < 1
+    two = {r["id"]: r["features"] for r in runs[1][2].collect()}
+    (_, _, items, _), = factors.als_rounds(scored, 4, 0.1, 2, start=runs[0][2])
+    again = {r["id"]: r["features"] for r in items.collect()}
+    assert again.keys() == two.keys() and all(np.allclose(again[i], two[i], atol=1e-9) for i in two)
+    # The items' factors solve their normal equations on the users' of the same round.
+    users = {r["id"]: np.array(r["features"]) for r in runs[-1][1].collect()}
+    own: dict = {}
+    for r in scored.collect():
+        own.setdefault(r["item_id"], []).append((users[r["user_id"]], r["norm"]))
+    for r in runs[-1][2].collect():
+        f, v = (np.array(c) for c in zip(*own[r["id"]]))
+        assert np.allclose((f.T @ f + 0.1 * len(v) * np.eye(4)) @ r["features"], f.T @ v, atol=1e-8)
+
+
 def test_methods(spark, rated):
     scored, stats = S.scored(rated), S.user_stats(rated)
     items = rated.select("item_id").distinct().withColumn("restricted", F.col("item_id") % 10 == 0).withColumn("group_id", F.col("item_id"))
