@@ -11,7 +11,7 @@ from tastegraph.operators import views as V
 from tastegraph.operators.recommend import recommend
 from tastegraph.operators.registry import AIRING_MODEL_SQL, BASE_SQL, MODEL_SQL, QUEUE_SQL, RECS_SQL, TAG_SQL, Views, query
 from tastegraph.operators.views import ALTERNATES_SQL, AS_OF, DAY, GENRES_SQL, ITEMS_SQL, OTHER_ITEMS_SQL, RATINGS_SQL, SHOWN_SQL, SIDE_SQL, TITLES_SQL, USERS_SQL
-from tastegraph.plans.scratch import materialize, scratch_path
+from tastegraph.plans.scratch import forget_on_clear, materialize, scratch_path
 from tastegraph.sources import lists, models as stored, pages
 from tastegraph.streaming import changes, refresh, store
 
@@ -341,7 +341,7 @@ def published_model(v: Views) -> DataFrame:
 # ---- factor models ---------------------------------------------------------------------------
 
 
-_FITS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
+_FITS: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = forget_on_clear({})
 
 
 def _fit(v: Views) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _WRITTEN: list[str] = []
+_MEMORIES: list[dict] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -30,8 +31,16 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def forget_on_clear(cache: dict) -> dict:
+    """A memory of written tables that is emptied together with them."""
+    _MEMORIES.append(cache)
+    return cache
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the tables that this process wrote for ``spark``; for the end of a job, when no result refers to them any more."""
+    for cache in _MEMORIES:
+        cache.clear()
     fs = spark._jvm.org.apache.hadoop.fs.Path
     gone = 0
     while _WRITTEN:

@@ -226,3 +226,48 @@ def test_scratch_tables_are_deleted(spark, monkeypatch):
     assert scratch.clear_scratch(spark) >= 1
     with pytest.raises(Exception):
         spark.read.parquet(path).count()
+
+
+def test_greedy_sample_is_that_of_sets(spark):
+    rng = np.random.default_rng(2)
+    rows = [(u, 10**12 + int(i), 2, 5) for u in range(300) for i in rng.permutation(120)[: int(rng.integers(3, 40))]]
+    ratings = spark.createDataFrame(rows, "user_id long, item_id long, status int, rating int")
+    stats = S.user_stats(ratings)
+    got = {(r["user_id"], r["bucket"]): r["ord"] for r in evaluate.stratified_sample(ratings, stats, 120, clusters=4).collect()}
+    draw = {r["user_id"]: r["d"] for r in ratings.select("user_id", F.xxhash64("user_id", F.lit(20)).alias("d")).distinct().collect()}
+    bucket = {r["user_id"]: r["b"] for r in stats.where("completed > 5").select("user_id", S.activity_bucket(F.col("completed")).alias("b")).collect()}
+    lists: dict = {}
+    for u, i, *_ in rows:
+        lists.setdefault(u, set()).add(i)
+    placed = []
+    for b in sorted(set(bucket.values())):
+        opened, done = [], 0
+        for u in sorted((u for u in bucket if bucket[u] == b), key=lambda u: (draw[u], u)):
+            own, n = lists[u], len(lists[u])
+            fit = next((k for k, (seen, _) in enumerate(opened) if len(own - seen) > max(min(0.4 * n, 5 - k), (0.23 - 0.2 * k / 4) * n)), None)
+            if fit is None:
+                if len(opened) == 4:
+                    continue
+                fit = len(opened)
+                opened.append((set(), []))
+            opened[fit][0].update(own)
+            opened[fit][1].append(u)
+            if len(opened[fit][0]) > 0.95 * 120:
+                placed.append((done, b, opened.pop(fit)[1]))
+                done += 1
+        placed += [(done + k, b, members) for k, (_, members) in enumerate(opened)]
+    order = [(u, b) for _, b, members in sorted(placed, key=lambda x: x[:2]) for u in sorted(members)]
+    assert got == {x: k for k, x in enumerate(order, 1)}
+
+
+def test_distinct_by_bitmap(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 1), ("a", 10**12), ("b", 1), ("b", 40000), ("b", 0)], "g string, n long")
+    assert {r["g"]: r["n"] for r in evaluate.distinct_by_bitmap(rows, "n", "g").collect()} == {"a": 2, "b": 3, None: 4}
+    assert evaluate.distinct_by_bitmap(rows.limit(0), "n", "g").first()["n"] == 0
+
+
+def test_cleared_scratch_forgets_the_fits(spark):
+    memory = scratch.forget_on_clear({})
+    memory["x"] = scratch.materialize(spark.range(3), "x")
+    scratch.clear_scratch(spark)
+    assert memory == {}
