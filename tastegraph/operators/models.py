@@ -109,6 +109,14 @@ def user_cosine(scored: DataFrame, stats: DataFrame, targets: DataFrame | None =
     return top_k(both.select("user_id", "other_id", score.alias("score")), "user_id", "score", "other_id", k).select("user_id", "rk", "other_id", "score")
 
 
+def case_cosine(case_scored: DataFrame, case_stats: DataFrame, owners: DataFrame, scored: DataFrame, stats: DataFrame, k: int = 100) -> DataFrame:
+    """As user_cosine for lists that are cases of users: ``owners (user_id, own)`` names the user of each, who is no neighbour of it."""
+    left = similarity._lists(case_scored, case_stats).join(owners, "user_id")
+    dots = similarity.item_pairs(left, similarity._lists(scored, stats), own="own").groupBy("user_id", "other_id").agg(F.sum(F.col("q") * F.col("q2")).alias("dot"))
+    both = dots.join(similarity.norms(case_scored), "user_id").join(similarity.norms(scored).select(F.col("user_id").alias("other_id"), F.col("nn").alias("mm")), "other_id")
+    return top_k(both.select("user_id", "other_id", F.round(similarity.cosine("dot"), DIGITS).alias("score")), "user_id", "score", "other_id", k).select("user_id", "rk", "other_id", "score")
+
+
 def user_pearson(scored: DataFrame, stats: DataFrame, targets: DataFrame | None = None, min_common: int = 20, k: int = 100) -> DataFrame:
     """As user_cosine, with norms over the common items; both lists must share ``min_common`` percent."""
     size = scored.groupBy("user_id").agg(F.count(F.lit(1)).alias("la"))

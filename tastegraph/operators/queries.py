@@ -143,6 +143,29 @@ def single_item_recall(v: Views) -> DataFrame:
     return evaluate.hits(models.tagged(recs, full, v.items, by), cases.withColumn("item_id", F.col("out")), by=by)
 
 
+CASE_NEAR_SQL = f"""c_nn AS (SELECT user_id, out, sum(q::BIGINT*q)::BIGINT AS n2 FROM less_scored GROUP BY 1,2), u_nn AS (SELECT user_id, sum(q::BIGINT*q)::BIGINT AS n2 FROM scored GROUP BY 1),
+c_near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, out ORDER BY score DESC, other_id) AS rk FROM (SELECT d.user_id, d.out, d.other_id, round(dot/sqrt(a.n2::DOUBLE*b.n2),9) AS score FROM (SELECT x.user_id, x.out, y.user_id AS other_id, sum(x.q::BIGINT*y.q)::BIGINT AS dot FROM less_scored x JOIN scored y ON x.item_id=y.item_id AND x.user_id<>y.user_id GROUP BY 1,2,3) d
+  JOIN c_nn a ON a.user_id=d.user_id AND a.out=d.out AND a.n2>0 JOIN u_nn b ON b.user_id=d.other_id AND b.n2>0 JOIN less_stats sa ON sa.user_id=d.user_id AND sa.out=d.out JOIN stats sb ON sb.user_id=d.other_id WHERE {SIMILAR_SQL})) WHERE rk<=100),
+c_recs AS (SELECT user_id, out, rk, item_id, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, out ORDER BY score DESC, item_id)::INT AS rk FROM (SELECT n.user_id, n.out, s.item_id, max(round(CASE WHEN norm>=0 THEN norm*n.score ELSE -0.5::DOUBLE END,9)+0.0::DOUBLE) AS score FROM c_near n JOIN scored s ON s.user_id=n.other_id AND s.status=2
+  LEFT JOIN (SELECT user_id, out, item_id FROM less WHERE status<>6) k ON k.user_id=n.user_id AND k.out=n.out AND k.item_id=s.item_id WHERE k.item_id IS NULL AND s.item_id NOT IN (SELECT item_id FROM items WHERE restricted) GROUP BY 1,2,3)) WHERE rk<=100)"""
+
+
+@query(f"""{MODEL_SQL}, {CASES_SQL}, {CASE_NEAR_SQL}, {tag_sql("user_id,out", "c_recs", "full_lists", "c_tagged")}, placed AS (SELECT *, coalesce(sum(CASE WHEN tag IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, out ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS place, 'cosine' AS method FROM c_tagged
+UNION ALL SELECT *, coalesce(sum(CASE WHEN tag IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, out ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS place, 'co-occurrence' FROM tagged)
+SELECT method, hits, total, round(hits/total,6) AS recall FROM (SELECT m.method, count(*) FILTER (place<=30) AS hits, count(*) AS total FROM cases c, (VALUES ('cosine'),('co-occurrence')) m(method) LEFT JOIN placed p ON p.user_id=c.user_id AND p.out=c.out AND p.item_id=c.out AND p.method=m.method GROUP BY 1)""")
+def recall_by_method(v: Views) -> DataFrame:
+    """Single-item recall of two recommenders by one function."""
+    found, cases, model = None, evaluate.Cases(v.settle().ratings, evaluate.middle_and_high(v.scored)), v.model()
+    methods = {
+        "cosine": lambda c: models.recommend_from_users(models.case_cosine(c.scored, c.stats, c.owners.select("user_id", "own"), v.scored, v.stats), v.scored, c.less, v.restricted),
+        "co-occurrence": lambda c: models.recommend_from_items(c.scored, c.less, model, v.restricted),
+    }
+    for name, recommender in methods.items():
+        row = evaluate.single_item_recall(recommender, cases, v.items).select(F.lit(name).alias("method"), "hits", "total", "recall")
+        found = row if found is None else found.unionByName(row)
+    return found
+
+
 @query(f"{BASE_SQL}, b AS (SELECT user_id, CASE WHEN completed<180 THEN completed//15 ELSE 8+completed//45 END AS bucket FROM stats) SELECT bucket::BIGINT AS bucket, count(DISTINCT user_id) AS users, count(DISTINCT item_id) AS items, round(100.0::DOUBLE*count(DISTINCT item_id)/(SELECT count(*) FROM part),4) AS percent FROM ratings JOIN b USING (user_id) GROUP BY ROLLUP (bucket)")
 def sample_coverage(v: Views) -> DataFrame:
     return evaluate.coverage(v.ratings, v.stats, v.items.count()).withColumn("bucket", F.col("bucket").cast("long"))

@@ -58,17 +58,19 @@ def _cut(rows: DataFrame, sizes: DataFrame, name: str, parts: str, salt: str, ch
     return rows.join(sizes.withColumnRenamed("_band", name), ["item_id", name]).withColumn(parts, part).drop("n")
 
 
-def item_pairs(left: DataFrame, right: DataFrame, chunk: int = CHUNK, once: bool = False) -> DataFrame:
+def item_pairs(left: DataFrame, right: DataFrame, chunk: int = CHUNK, once: bool = False, own: str = "user_id") -> DataFrame:
     """``user_id, other_id, item_id, q, q2`` for each item that a user of ``left`` and another of like activity in ``right`` have.
 
+    ``own`` is the column of ``left`` that names a list's owner in ``right``, where lists are cases of users.
+
     A list of more than ``chunk`` users is dealt into parts, and the rows that meet it go to each
     of them. With ``once``, each pair comes in one direction only.
     """
     others = right.select(F.col("user_id").alias("other_id"), "item_id", F.col("q").alias("q2"), F.col("completed").alias("completed_b")).withColumn("_band", band(F.col("completed_b")))
     sizes = others.groupBy("item_id", "_band").agg(F.count(F.lit(1)).alias("n"))
-    mine = left.select("user_id", "item_id", "q", "completed").withColumn("_band", F.explode(near_bands(F.col("completed"))))
+    mine = left.select("user_id", "item_id", "q", "completed", F.col(own).alias("_own")).withColumn("_band", F.explode(near_bands(F.col("completed"))))
     met = _cut(mine, sizes, "_band", "_part", "user_id", chunk, True).join(_cut(others, sizes, "_band", "_part", "other_id", chunk), ["item_id", "_band", "_part"])
-    differ = F.col("user_id") < F.col("other_id") if once else F.col("user_id") != F.col("other_id")
+    differ = F.col("_own") < F.col("other_id") if once else F.col("_own") != F.col("other_id")
     return met.where(differ & similar_activity(F.col("completed"), F.col("completed_b"))).select("user_id", "other_id", "item_id", F.col("q").cast("long").alias("q"), F.col("q2").cast("long").alias("q2"))
 
 

@@ -423,6 +423,15 @@ def als_rmse(v: Views) -> DataFrame:
     return factors.rmse(v.fit(), *_fit(v), every=1)
 
 
+@query()
+def als_recall(v: Views) -> DataFrame:
+    """Single-item recall by factors folded in from each case's list."""
+    _, items = _fit(v)
+    some = items.join(v.restricted.select(F.col("item_id").alias("id")), "id", "left_anti")
+    cases = evaluate.Cases(v.settle().ratings, evaluate.middle_and_high(v.scored))
+    return evaluate.single_item_recall(lambda c: factors.score_items(factors.fold_in_users(c.scored, items), some, V.known(c.less)), cases, v.items)
+
+
 @query()
 def als_hidden_rmse(v: Views) -> DataFrame:
     """The error on eight hidden items of each user with 30 finished ones."""
