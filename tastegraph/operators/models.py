@@ -51,7 +51,8 @@ def test_users(stats: DataFrame, users: DataFrame, sample: DataFrame, n: int) ->
 
 def mirrored(pairs: DataFrame, *values: str) -> DataFrame:
     """Both directions of unordered pairs ``(item_id, similar_id)``."""
-    return pairs.select("item_id", "similar_id", *values).unionByName(pairs.select(F.col("similar_id").alias("item_id"), F.col("item_id").alias("similar_id"), *values))
+    either = lambda a, b: F.struct(F.col(a).alias("item_id"), F.col(b).alias("similar_id"), *values)
+    return pairs.select(F.inline(F.array(either("item_id", "similar_id"), either("similar_id", "item_id"))))
 
 
 def co_occurrence(scored: DataFrame, groups: DataFrame, candidates: DataFrame | None = None, threshold: float = 0.3, alpha: float = 0.7, k: int = 30) -> DataFrame:
@@ -94,7 +95,8 @@ def _both_ways(pairs: DataFrame, targets: DataFrame | None, swap: dict[str, str]
     if targets is not None:
         return pairs
     change = {"user_id": "other_id", "other_id": "user_id", **swap}
-    return pairs.unionByName(pairs.select(*[F.col(change.get(c, c)).alias(c) for c in pairs.columns]))
+    other = F.struct(*[F.col(change.get(c, c)).alias(c) for c in pairs.columns])
+    return pairs.select(F.inline(F.array(F.struct(*pairs.columns), other)))
 
 
 def user_cosine(scored: DataFrame, stats: DataFrame, targets: DataFrame | None = None, k: int = 100) -> DataFrame:

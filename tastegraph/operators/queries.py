@@ -71,7 +71,8 @@ def recommend_from_users(v: Views) -> DataFrame:
   LEFT JOIN items i ON i.item_id=r.item_id LEFT JOIN (SELECT user_id, item_id FROM ratings WHERE status<>6) k ON k.user_id=n.user_id AND k.item_id=r.item_id
   WHERE k.item_id IS NULL AND NOT coalesce(i.restricted OR i.status=2 OR (i.status=1 AND coalesce(end_at,0)>={AS_OF}) OR {AS_OF}-coalesce(start_at,0)>365*86400, false) GROUP BY 1,2)) WHERE rk<=100""")
 def recommend_in_progress(v: Views) -> DataFrame:
-    return models.recommend_in_progress(v.near(), v.ratings, v.items, AS_OF)
+    near = v.settle().near()
+    return models.recommend_in_progress(near, v.ratings, v.items, AS_OF)
 
 
 @query(f"{VOTES_SQL} SELECT * FROM recs")
@@ -108,7 +109,7 @@ def planned_recall(v: Views) -> DataFrame:
 
 @query(f"{VOTES_SQL}, top AS (SELECT * FROM recs WHERE rk<=30) SELECT (SELECT count(*) FROM top) AS n, round(2*coalesce(sum(m.score),0)/(SELECT count(*) FROM top),6) AS similarity FROM top a JOIN top b ON a.user_id=b.user_id AND a.rk<b.rk JOIN cooc m ON m.item_id=a.item_id AND m.similar_id=b.item_id")
 def diversification(v: Views) -> DataFrame:
-    model = v.model()
+    model = v.settle().model()
     return evaluate.diversification(models.recommend_from_items(v.scored, v.ratings, model, v.restricted), model)
 
 

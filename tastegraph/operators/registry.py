@@ -95,41 +95,37 @@ class Views:
         self.shown = V.catalogue(self.items)
 
     def settle(self) -> Views:
-        """Write what a query reads many times; the tables are then read once."""
+        """Write what a query reads many times; the tables are then read once, and models are kept too."""
         if not self._settled:
-            self.ratings, self.items, self.users = materialize(self.ratings, "ratings"), materialize(self.items, "items"), materialize(self.users, "users")
+            self.ratings, self.items = materialize(self.ratings, "ratings"), materialize(self.items, "items")
             self._derive()
             self.stats, self.scored, self._settled = materialize(self.stats, "stats"), materialize(self.scored, "scored"), True
         return self
 
-    def t(self, name: str) -> DataFrame:
-        return V.table(self.spark, self.d, name)
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        return materialize(df, name) if self._settled else df
 
     def fit(self) -> DataFrame:
         """Ratings of the users that models are built on."""
-        self.settle()
-        return self.scored.join(models.active(self.stats, self.users), "user_id", "left_semi")
+        return self._kept(self.scored.join(models.active(self.stats, self.users), "user_id", "left_semi"), "fit")
 
     def near(self) -> DataFrame:
-        self.settle()
-        return materialize(models.user_cosine(self.scored, self.stats), "near")
+        return self._kept(models.user_cosine(self.scored, self.stats), "near")
 
     def model(self) -> DataFrame:
-        self.settle()
-        return materialize(models.co_occurrence(materialize(self.fit(), "fit"), self.items), "model")
+        return self._kept(models.co_occurrence(self.fit(), self.items), "model")
 
     def model_in_progress(self) -> DataFrame:
-        self.settle()
         now = self.items.where(F.col("status") == V.IN_PROGRESS).select("item_id")
         watching = self.ratings.where(F.col("status") == V.WATCHING).join(now, "item_id", "left_semi")
         return models.co_occurrence(self.fit(), self.items, watching.select("user_id", "item_id"), k=15)
 
     def recs(self) -> DataFrame:
-        near = self.near()
+        near = self.settle().near()
         return models.recommend_from_users(near, self.scored, self.ratings, self.restricted)
 
     def votes(self) -> DataFrame:
-        model = self.model()
+        model = self.settle().model()
         return models.recommend_from_items(self.scored, self.ratings, model, self.restricted)
 
     def titles(self) -> DataFrame:

@@ -51,11 +51,11 @@ def _lists(scored: DataFrame, stats: DataFrame) -> DataFrame:
     return scored.select("user_id", "item_id", "q").join(stats.where("completed > 0").select("user_id", "completed"), "user_id")
 
 
-def _cut(rows: DataFrame, sizes: DataFrame, name: str, parts: str, salt: str, chunk: int, spread: bool = False) -> DataFrame:
-    """``rows`` with the part of their (item, band) list that they are in, or with every one (``spread``)."""
-    n = F.ceil(F.col("n") / chunk).cast("int")
+def _cut(rows: DataFrame, long: DataFrame, parts: str, salt: str, spread: bool = False) -> DataFrame:
+    """``rows`` with the part of their (item, band) list that they are in, or with every one (``spread``); only ``long`` lists have several."""
+    n = F.coalesce("parts", F.lit(1))
     part = F.explode(F.sequence(F.lit(0), n - 1)) if spread else F.pmod(F.xxhash64(salt), n).cast("int")
-    return rows.join(sizes.withColumnRenamed("_band", name), ["item_id", name]).withColumn(parts, part).drop("n")
+    return rows.join(long, ["item_id", "_band"], "left").withColumn(parts, part).drop("parts")
 
 
 def item_pairs(left: DataFrame, right: DataFrame, chunk: int = CHUNK, once: bool = False, own: str = "user_id") -> DataFrame:
@@ -67,9 +67,10 @@ def item_pairs(left: DataFrame, right: DataFrame, chunk: int = CHUNK, once: bool
     of them. With ``once``, each pair comes in one direction only.
     """
     others = right.select(F.col("user_id").alias("other_id"), "item_id", F.col("q").alias("q2"), F.col("completed").alias("completed_b")).withColumn("_band", band(F.col("completed_b")))
-    sizes = others.groupBy("item_id", "_band").agg(F.count(F.lit(1)).alias("n"))
+    # Lists that are too long are few: rows over ``chunk`` at most.
+    long = others.groupBy("item_id", "_band").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts")).where("parts > 1")
     mine = left.select("user_id", "item_id", "q", "completed", F.col(own).alias("_own")).withColumn("_band", F.explode(near_bands(F.col("completed"))))
-    met = _cut(mine, sizes, "_band", "_part", "user_id", chunk, True).join(_cut(others, sizes, "_band", "_part", "other_id", chunk), ["item_id", "_band", "_part"])
+    met = _cut(mine, long, "_part", "user_id", True).join(_cut(others, long, "_part", "other_id"), ["item_id", "_band", "_part"])
     differ = F.col("_own") < F.col("other_id") if once else F.col("_own") != F.col("other_id")
     return met.where(differ & similar_activity(F.col("completed"), F.col("completed_b"))).select("user_id", "other_id", "item_id", F.col("q").cast("long").alias("q"), F.col("q2").cast("long").alias("q2"))
 

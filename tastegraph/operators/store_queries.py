@@ -125,7 +125,7 @@ def evaluation_users(v: Views) -> DataFrame:
 
 @query(f"{MODEL_SQL}, {AIRING_MODEL_SQL}, {SHOWN_SQL} SELECT item_id, kind, rk, similar_id, score FROM (SELECT *, 'finished' AS kind FROM cooc WHERE rk<=15 UNION ALL SELECT *, 'in progress' FROM air WHERE rk<=5) WHERE item_id IN (SELECT item_id FROM shown) AND similar_id IN (SELECT item_id FROM shown)")
 def similar_items(v: Views) -> DataFrame:
-    return models.similar_items(v.model(), v.model_in_progress(), v.shown)
+    return models.similar_items(v.settle().model(), v.model_in_progress(), v.shown)
 
 
 # ---- change rules ------------------------------------------------------------------------
