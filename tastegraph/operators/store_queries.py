@@ -12,7 +12,7 @@ from tastegraph.operators.recommend import recommend
 from tastegraph.operators.registry import AIRING_MODEL_SQL, BASE_SQL, MODEL_SQL, QUEUE_SQL, RECS_SQL, TAG_SQL, Views, query
 from tastegraph.operators.views import ALTERNATES_SQL, AS_OF, DAY, GENRES_SQL, ITEMS_SQL, OTHER_ITEMS_SQL, RATINGS_SQL, SHOWN_SQL, SIDE_SQL, TITLES_SQL, USERS_SQL
 from tastegraph.plans.scratch import forget_on_clear, materialize, scratch_path
-from tastegraph.sources import lists, models as stored, pages
+from tastegraph.sources import lists, models as stored, pages, textmodels
 from tastegraph.streaming import changes, refresh, store
 
 STORE_SQL = f"WITH {ITEMS_SQL}, {SHOWN_SQL}, {SIDE_SQL}, {USERS_SQL}, {OTHER_ITEMS_SQL}"
@@ -338,6 +338,22 @@ def published_model(v: Views) -> DataFrame:
     return stored.read_model(v.spark, folder, "co-occurrence")
 
 
+@query(f"{MODEL_SQL} SELECT item_id, rk, similar_id, score FROM cooc")
+def text_model(v: Views) -> DataFrame:
+    """The co-occurrence model written as numbered text and read back by places."""
+    path = scratch_path(v.spark, "text-model")
+    textmodels.write_item_model(v.model(), path, "model")
+    return textmodels.read_item_model(v.spark, path)
+
+
+@query()
+def sample_file(v: Views) -> DataFrame:
+    """The first 1,000 users of the sample's text file."""
+    path = scratch_path(v.spark, "sample")
+    textmodels.write_sample(evaluate.stratified_sample(v.ratings, v.stats, v.items.count()), path)
+    return textmodels.read_sample(v.spark, path, 1000)
+
+
 # ---- factor models ---------------------------------------------------------------------------
 
 
