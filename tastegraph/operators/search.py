@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tastegraph.functions.scores import letter, tokens
 
+#: Edits that the longest query words may have, and characters of pairs that are compared together.
+MOST_EDITS, CELLS = 2, 1 << 20
+
 
 def words_of(titles: DataFrame) -> DataFrame:
     """``item_id, title_id, word, at`` of every word of every title."""
@@ -106,8 +110,73 @@ def word_keys(word: Column) -> Column:
     return F.array_distinct(F.concat(of(1), of(2)))
 
 
+def _characters(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(characters of all words end to end, where each begins, their numbers)."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size
+
+
+def _heads(flat: np.ndarray, first: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+    """The first ``width`` characters of each word, filled up with a number that is no character."""
+    at = np.arange(width)
+    held = at < size[:, None]
+    out = np.full((len(first), width), 0xFFFFFFFF, np.uint32)
+    out[held] = flat[(first[:, None] + at)[held]]
+    return out
+
+
+def _banded(q: np.ndarray, word: np.ndarray, n_word: np.ndarray, n: int) -> np.ndarray:
+    """(skipped, edits, rest), or -1, of pairs with queries of ``n`` characters, by one dynamic programme.
+
+    ``cost[d]`` is the least cost of having read i characters of the query and i + d - MOST_EDITS
+    of the word; reading numbers that differ by more costs more than any budget.
+    """
+    none, far = np.int64(2**62), np.int8(9)
+    offsets = range(-MOST_EDITS, MOST_EDITS + 1)
+    cost = np.stack([np.where((d >= 0) & (d <= n_word), np.int8(max(d, 0)), far) for d in offsets])
+    key = n_word if n == 0 else np.full(len(n_word), none)
+    for i in range(1, n + 1):
+        fresh = np.full_like(cost, far)
+        for d, off in enumerate(offsets):
+            j = i + off
+            if j < 0:
+                continue
+            inside = j <= n_word
+            same = (q[:, i - 1] == word[:, j - 1]) & inside if j else np.zeros(len(n_word), bool)
+            if i == n:  # the last character has to match
+                state = ((4 * abs(off) + cost[d].astype(np.int64)) << 40) + n_word - j
+                key = np.minimum(key, np.where(same & (cost[d] <= edit_budget(n)), state, none))
+                continue
+            steps = [cost[d] + ~same] if j else []
+            steps += [cost[d + 1] + 1] if d + 1 < len(offsets) else []
+            steps += [fresh[d - 1] + 1] if d and j else []
+            fresh[d] = np.where(inside, np.minimum(np.minimum.reduce(steps), far), far)
+        cost = fresh
+    parts = np.stack([key >> 42, key >> 40 & 3, key & (1 << 40) - 1], 1)
+    return np.where(key[:, None] < none, parts, -1)
+
+
+def edit_states(q: list[str], word: list[str]) -> np.ndarray:
+    """``edit_state`` of every pair of two lists, a row of three numbers each; -1 where there is none.
+
+    Pairs of one query length are compared together, CELLS characters at a time; of a word no
+    more is looked at than the query can reach.
+    """
+    out = np.full((len(q), 3), -1, np.int64)
+    flat_q, first_q, n_q = _characters(q)
+    flat_w, first_w, n_w = _characters(word)
+    order = np.argsort(n_q, kind="stable")
+    lengths, begin = np.unique(n_q[order], return_index=True)
+    for n, rows in zip(lengths, np.split(order, begin[1:])):
+        step = max(1, CELLS // (int(n) + MOST_EDITS))
+        for k in range(0, len(rows), step):
+            r = rows[k : k + step]
+            out[r] = _banded(_heads(flat_q, first_q[r], n_q[r], int(n)), _heads(flat_w, first_w[r], n_w[r], int(n) + MOST_EDITS), n_w[r], int(n))
+    return out
+
+
 def _edits(q: pd.Series, word: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([edit_state(a, b) or (-1, -1, -1) for a, b in zip(q, word)], columns=["skipped", "distance", "level"])
+    return pd.DataFrame(edit_states(q.tolist(), word.tolist()), columns=["skipped", "distance", "level"])
 
 
 def near_words(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,10 +86,80 @@ def _unpacked(raw: bytes | None) -> list[list[int]] | None:
                 own[tag // 8 - 1], at = _take(raw, at)
             out.append(own)
         return out
-    except (TypeError, OSError, EOFError, IndexError):
+    except (TypeError, OSError, EOFError, IndexError, zlib.error):
         return None
 
 
+def _numbers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all varints of ``data``, which ends with one, and where each ends); those of over ten bytes come out wrong."""
+    ends = np.flatnonzero(data < 128)
+    first = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    place = np.arange(len(data)) - np.repeat(first, ends + 1 - first)
+    bits = (data & 127).astype(np.uint64) << (7 * np.minimum(place, 9)).astype(np.uint64)
+    return np.add.reduceat(bits, first).view(np.int64), ends + 1
+
+
+def _plain(raw: bytes | None) -> bytes:
+    """The bytes of a list; empty if it is null, cannot be unzipped or ends within a number."""
+    try:
+        raw = gzip.decompress(raw)
+    except (TypeError, OSError, EOFError, zlib.error):
+        return b""
+    return raw if raw and raw[-1] < 128 else b""
+
+
+def unpacked_lists(packed: pa.Array) -> pa.Array:
+    """Entries, of four numbers each, of a batch of lists, whose numbers are decoded together.
+
+    Such a list is a run of pairs: 10 and the size of an entry, or a field's tag and its number.
+    A list of another form (a size that does not fit, other fields) is read byte by byte; one
+    that cannot be read so either is null.
+    """
+    rows = packed.to_pylist()
+    texts = [_plain(r) for r in rows]
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    entries, count = np.zeros((0, 4), np.int64), np.zeros(len(rows), np.int64)
+    odd = size == 0
+    if size.any():
+        numbers, ends = _numbers(np.frombuffer(b"".join(texts), np.uint8))
+        edge = np.concatenate([[0], np.searchsorted(ends, np.cumsum(size), "right")])  # numbers before each row
+        row = np.repeat(np.arange(len(rows)), np.diff(edge))
+        within = np.arange(len(numbers)) - edge[row]
+        odd |= np.diff(edge) % 2 == 1
+        odd[row[np.diff(np.concatenate([[0], ends])) > 10]] = True
+        keep = ~odd[row]
+        row, within, numbers, ends = row[keep], within[keep], numbers[keep], ends[keep]
+        tag, value, row, ends = numbers[::2], numbers[1::2], row[::2], ends[1::2]
+        head = tag == 10
+        odd[row[(within[::2] == 0) & ~head]] = True
+        odd[row[~head & ~np.isin(tag, (8, 16, 24, 32))]] = True
+        entry = np.cumsum(head) - 1
+        if len(tag):
+            # An entry ends where its last pair does.
+            final = np.flatnonzero(np.append(head[1:], True) | np.append(row[1:] != row[:-1], True))
+            begin = np.flatnonzero(head)
+            if len(final) == len(begin):
+                odd[row[begin[ends[final] - ends[begin] != value[begin]]]] = True
+            else:  # a row that begins without an entry
+                odd[np.unique(row)] = True
+        good = ~odd[row]
+        entries = np.zeros((int(head.sum()), 4), np.int64)
+        cell = good & ~head
+        entries[entry[cell], tag[cell] // 8 - 1] = value[cell]
+        entries = entries[good[head]]
+        count = np.bincount(row[head & good], minlength=len(rows))
+    slow = {k: _unpacked(rows[k]) for k in np.flatnonzero(odd)}
+    if any(slow.values()):
+        parts = np.split(entries, np.cumsum(count)[:-1])
+        for k, found in slow.items():
+            parts[k] = np.array(found or [], dtype=np.uint64).view(np.int64).reshape(-1, 4)
+            count[k] = len(parts[k])
+        entries = np.concatenate(parts)
+    missing = pa.array(np.array([k in slow and slow[k] is None for k in range(len(rows))], bool))
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * len(entries) + 1, 4, dtype=np.int32)), pa.array(entries.reshape(-1)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), inner, mask=missing)
+
+
 def write_packed(ratings: DataFrame) -> DataFrame:
     """``user_id, packed``: each user's list as gzipped protobuf, in item order; ``ratings`` may have a column ``day``."""
     day = [F.col("day")] if "day" in ratings.columns else [F.lit(0)]
@@ -98,7 +171,7 @@ def write_packed(ratings: DataFrame) -> DataFrame:
 
 def read_packed(lists: DataFrame) -> DataFrame:
     """``user_id, item_id, status, rating, day`` of gzipped protobuf lists, those of a list in order; broken lists give no rows."""
-    unpack = F.pandas_udf(lambda p: pd.Series([_unpacked(x) for x in p]), "array<array<bigint>>")
+    unpack = F.arrow_udf(unpacked_lists, "array<array<bigint>>")
     return lists.select("user_id", unpack("packed").alias("l")).select("user_id", F.explode(_entries(F.col("l"))).alias("e")).select("user_id", "e.*")
 
 
