@@ -340,10 +340,10 @@ def published_model(v: Views) -> DataFrame:
 
 @query(f"{MODEL_SQL} SELECT item_id, rk, similar_id, score FROM cooc")
 def text_model(v: Views) -> DataFrame:
-    """The co-occurrence model written as numbered text and read back by places."""
+    """The co-occurrence model written as numbered text and read back by places; 0 is an item here, so -1 marks free ones."""
     path = scratch_path(v.spark, "text-model")
-    textmodels.write_item_model(v.model(), path, "model")
-    return textmodels.read_item_model(v.spark, path)
+    textmodels.write_item_model(v.model(), path, "model", unused=-1)
+    return textmodels.read_item_model(v.spark, path, unused=-1)
 
 
 @query()

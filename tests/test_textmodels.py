@@ -80,3 +80,14 @@ def test_empty_models_and_samples(spark, tmp_path):
         assert rows(T.read_sample(spark, f"{path}/s-{label}", 3)) == [(7, 3), (8, 2), (9, 1)]
     T.write_sample(sample.limit(0), f"{path}/s0")
     assert T.read_sample(spark, f"{path}/s0", 3).count() == 0
+
+
+def test_zero_as_an_identifier(spark, tmp_path):
+    rows_ = [(0, 1, 4, 0.5), (4, 1, 0, 0.5), (4, 2, 8, 0.25)]
+    df, path = spark.createDataFrame(rows_, SCHEMA), f"file://{tmp_path}/zero"
+    with pytest.raises(ValueError, match="unused"):
+        T.write_item_model(df, path)
+    T.write_item_model(df, path, unused=-1)
+    assert rows(T.read_item_model(spark, path, unused=-1)) == rows_
+    with pytest.raises(ValueError, match="unused"):
+        T.write_user_factors(spark.createDataFrame([(0, [1.0])], "user_id long, factors array<double>"), path)
