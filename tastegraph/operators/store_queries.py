@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tastegraph.functions import scores as S
 from tastegraph.operators import attach, evaluate, factors, models
 from tastegraph.operators import views as V
-from tastegraph.operators.recommend import recommend
-from tastegraph.operators.registry import AIRING_MODEL_SQL, BASE_SQL, MODEL_SQL, QUEUE_SQL, RECS_SQL, TAG_SQL, Views, query
+from tastegraph.operators.recommend import recommend, recommend_drawn, recommend_in_progress
+from tastegraph.operators.registry import AIRING_MODEL_SQL, BASE_SQL, COOC_SQL, MODEL_SQL, QUEUE_SQL, RECS_SQL, TAG_SQL, Views, query, votes_sql
 from tastegraph.operators.views import ALTERNATES_SQL, AS_OF, DAY, GENRES_SQL, ITEMS_SQL, OTHER_ITEMS_SQL, RATINGS_SQL, SHOWN_SQL, SIDE_SQL, TITLES_SQL, USERS_SQL
 from tastegraph.plans.scratch import forget_on_clear, materialize, scratch_path
 from tastegraph.sources import lists, models as stored, pages, textmodels
@@ -410,6 +410,35 @@ def als_fold_in(v: Views) -> DataFrame:
     return factors.fold_in_items(v.ratings, _fit(v)[0], v.items.where(F.col("status") == V.IN_PROGRESS))
 
 
+@query(f"""{BASE_SQL}, {COOC_SQL}, {AIRING_MODEL_SQL}, open_air AS (SELECT * FROM air WHERE similar_id NOT IN (SELECT item_id FROM items WHERE status=2 OR (status=1 AND coalesce(end_at,0)>={AS_OF}) OR {AS_OF}-coalesce(start_at,0)>365*86400)),
+{votes_sql(model="open_air")} SELECT * FROM recs WHERE rk<=10""")
+def in_progress_from_items(v: Views) -> DataFrame:
+    """Ten items in progress for every user, by votes of liked ones in the co-occurrence model of items in progress."""
+    v.settle()
+    return recommend_in_progress("co-occurrence", v.ratings, v.scored, v.stats, v.items, AS_OF, model=v.model_in_progress())
+
+
+@query()
+def drawn_likes(v: Views) -> DataFrame:
+    """Votes of 10 to 20 drawn ones of each user's 20 best items."""
+    v.settle()
+    return models.recommend_from_items(v.scored, v.ratings, v.model(), v.restricted, seed=1)
+
+
+@query()
+def drawn_recommendations(v: Views) -> DataFrame:
+    """Every user's recommendations by the method drawn for them."""
+    users, items = _fit(v.settle())
+    return recommend_drawn(v.ratings, v.scored, v.stats, v.items, model=v.model(), user_factors=users, item_factors=items)
+
+
+@query()
+def factor_item_votes(v: Views) -> DataFrame:
+    """Votes of liked items for those near them in the factor space."""
+    _, items = _fit(v.settle())
+    return recommend("factor-items", v.ratings, v.scored, v.stats, v.items, item_factors=items)
+
+
 @query()
 def als_user_neighbours(v: Views) -> DataFrame:
     return factors.user_neighbours(_fit(v)[0], v.stats)

@@ -137,6 +137,42 @@ def test_methods(spark, rated):
         recommend.recommend("chance", rated, scored, stats, items)
 
 
+def test_drawn_methods(spark, rated):
+    scored, stats = S.scored(rated), S.user_stats(rated)
+    items = rated.select("item_id").distinct().withColumn("restricted", F.lit(False)).withColumn("group_id", F.col("item_id"))
+    given = {"model": models.co_occurrence(scored, items)}
+    names = ("pearson", "co-occurrence")
+    chosen = {r["user_id"]: r["method"] for r in recommend.drawn_methods(stats, names).collect()}
+    got = [(r["user_id"], r["method"], r["rk"], r["item_id"]) for r in recommend.recommend_drawn(rated, scored, stats, items, names, **given).collect()]
+    want = [(r["user_id"], m, r["rk"], r["item_id"]) for m in names for r in recommend.recommend(m, rated, scored, stats, items, **given).collect() if chosen[r["user_id"]] == m]
+    assert sorted(got) == sorted(want) and {m for _, m, _, _ in got} == set(names)
+    many = recommend.drawn_methods(spark.range(4000).withColumnRenamed("id", "user_id")).groupBy("method").count().collect()
+    assert {r["method"] for r in many} == set(recommend.DRAWN) and all(850 < r["count"] < 1150 for r in many)
+
+
+def test_lists_in_progress(spark, rated):
+    """Every method's list in progress: no known, restricted, finished or old item, by votes of the models given."""
+    as_of, day = 1_000_000_000, 86400
+    scored, stats = S.scored(rated), S.user_stats(rated)
+    watched = [(u, 900 + u % 6, 1, 0) for u in (r["user_id"] for r in stats.collect())]
+    ratings = rated.select("user_id", "item_id", "status", "rating").union(spark.createDataFrame(watched, "user_id long, item_id long, status int, rating int"))
+    fresh = spark.createDataFrame([(900, 1, as_of - day, None, False), (901, 1, as_of - day, None, True), (902, 2, as_of - day, None, False), (903, 1, as_of - 400 * day, None, False), (904, 1, as_of - day, as_of + day, False), (905, 1, as_of - 9 * day, as_of - day, False)], "item_id long, status int, start_at long, end_at long, restricted boolean")
+    finished = rated.select("item_id").distinct().select("item_id", F.lit(2).alias("status"), F.lit(0).cast("long").alias("start_at"), F.lit(None).cast("long").alias("end_at"), F.lit(False).alias("restricted"))
+    items = finished.unionByName(fresh).withColumn("group_id", F.col("item_id"))
+    likes = rated.select("item_id").distinct()
+    near = likes.crossJoin(fresh.select(F.col("item_id").alias("similar_id"))).withColumn("score", F.lit(0.5)).withColumn("rk", F.lit(1))
+    users, factor = factors.fit_als(scored, 4, 0.1, 4)
+    now = fresh.select(F.col("item_id").alias("id"), F.array(*[F.lit(0.5)] * 4).alias("features"))
+    give = {"model": near, "user_factors": users, "item_factors": factor, "now_factors": now}
+    held = {(r["user_id"], r["item_id"]) for r in ratings.collect()}
+    for method in recommend.METHODS:
+        rows = recommend.recommend_in_progress(method, ratings, scored, stats, items, as_of, **give).collect()
+        assert bool(rows) == (method != "projection-items"), method
+        assert all(r["item_id"] in (900, 905) and (r["user_id"], r["item_id"]) not in held and r["rk"] <= 10 for r in rows), method
+    with pytest.raises(ValueError):
+        recommend.recommend_in_progress("chance", ratings, scored, stats, items, as_of)
+
+
 def test_drawn_likes(spark, rated):
     scored = S.scored(rated)
     n = {r["n"] for r in models.liked_best(scored, seed=3).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).collect()}
