@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
@@ -61,3 +62,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, sent: Broadcast, name: str) -> DataFrame:
+    """``materialize`` of a frame that alone needs the broadcast ``sent``, which is then removed everywhere."""
+    table = materialize(df, name)
+    sent.destroy()
+    return table
