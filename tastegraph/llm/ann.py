@@ -23,12 +23,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tastegraph.llm.labelled import spread
-from tastegraph.plans.scratch import materialize
+from tastegraph.plans.scratch import materialize, written
 
 SAMPLE = 8000
 CENTROIDS = 16
@@ -179,7 +180,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
     if slices > 1:  # each slice of the queries is a pass over the index
         asked, indexed = materialize(asked, "ann-queries"), materialize(indexed, "ann-index")
 
-    def found_for(s: int) -> DataFrame:
+    def found_for(s: int) -> tuple[DataFrame, Broadcast]:
         part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(slices)) == s).repartition(max(1, -(-n // (QUERIES * 8 * slices))))
         blocks = part.mapInPandas(block_queries, "q_ids binary, qs binary").collect()
         sent = spark.sparkContext.broadcast([(bytes(r["q_ids"]), bytes(r["qs"])) for r in blocks])
@@ -199,10 +200,12 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
             rows = [(q, v, -score) for q, found in best.items() for score, v in found]
             yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-        return indexed.mapInPandas(search, "query_id long, vec_id long, score double")
+        return indexed.mapInPandas(search, "query_id long, vec_id long, score double"), sent
 
-    found = found_for(0)
-    for s in range(1, slices):
-        found = found.unionByName(found_for(s))
+    found, sent = found_for(0)
+    if slices > 1:  # written one after another, so that one slice's queries are held at a time
+        found = written(found, sent, "ann-found")
+        for s in range(1, slices):
+            found = found.unionByName(written(*found_for(s), "ann-found"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

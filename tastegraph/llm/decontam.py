@@ -23,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastegraph.llm.labelled import map_rows
-from tastegraph.plans.scratch import materialize
+from tastegraph.plans.scratch import materialize, written
 
 GRAM = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -137,7 +138,7 @@ def align(pairs: list[tuple[list[str], list[str]]]) -> np.ndarray:
     return best / np.maximum(1, MATCH * np.array([len(p) for p in a]))
 
 
-def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
+def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> tuple[DataFrame, Broadcast]:
     sent = docs.sparkSession.sparkContext.broadcast(ItemGrams(items, threshold))
 
     def scored(rows: list[tuple[str | None, str, int, list[str]]]) -> pd.DataFrame:
@@ -164,7 +165,7 @@ def _matches_of_slice(docs: DataFrame, items: list[tuple[int, str]], threshold:
             yield scored(rows)
 
     texts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_rows(texts, find, "item_id long, score double", ids=("doc_id", "key"))
+    return map_rows(texts, find, "item_id long, score double", ids=("doc_id", "key")), sent
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_chars: int = SLICE_CHARS) -> DataFrame:
@@ -175,7 +176,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     found = None
     for s in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == s).orderBy("item_id", "text")
-        one = _matches_of_slice(docs, [(r["item_id"], r["text"]) for r in part.collect()], threshold)
+        one, sent = _matches_of_slice(docs, [(r["item_id"], r["text"]) for r in part.collect()], threshold)
+        if slices > 1:  # written one after another, so that one slice of the items is held at a time
+            one = written(one, sent, "slice-matches")
         found = one if found is None else found.unionByName(one)
     return found
 
