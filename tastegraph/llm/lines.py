@@ -1,11 +1,11 @@
 """Fuzzy line dedup in DataFrame operations only.
 
-Each line (trimmed, lower-cased) has the set of its character shingles: the SHINGLE
-characters that begin at each word and at each piece of a longer run without blanks. A run
-is cut after every character that is no Latin, Cyrillic or Greek letter or digit (so at the
-marks of a URL, at tabs, and at every Chinese or Japanese character), after some letters and
-digits, and after SHINGLE characters at the latest. Cuts depend on the characters alone, so
-an edit moves no others but those close to it, and every character lies in a shingle. Its MinHash
+Each line (trimmed, lower-cased) has a set of character shingles. Corpora are deduplicated
+by ``stretches``: every stretch of SHINGLE characters of the line, at every position.
+``word_shingles``, the default of the functions here, is a sample for where speed matters
+more: the SHINGLE characters that begin at each word and at each piece of a longer run without
+blanks. Such a run is cut after every character that is no Latin, Cyrillic or Greek letter or
+digit, after some letters and digits, and after SHINGLE characters at the latest. A MinHash
 signature is the run of the smallest shingle hashes; bands are three adjacent values of that
 run, and in lines of few shingles also two, so two lines meet when they share neighbouring
 minima. Lines that meet are compared by the exact Jaccard similarity of
@@ -21,7 +21,10 @@ the lines of different components are compared, and only links between component
 So the components are those of all similar pairs that share a band, and no band is ever
 gathered or expanded into its pairs.
 
-The lines of all documents are split and hashed once, into a table of places and shingle sets.
+The lines of all documents are split and hashed once, into a table of places and bands; those
+that are compared are read again, once for each distinct line. Maps of a few bits, one parity for
+each class of hashes, tell most unlike lines apart: maps differ in no more bits than sets do in
+shingles. The others are joined as text, which is shorter than their sets, and hashed anew.
 Tables of up to SMALL rows of a few numbers are broadcast to the joins that need them; larger
 ones are joined by a shuffle, with the same result.
 
@@ -36,6 +39,8 @@ result. Extra columns pass through, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,6 +55,8 @@ LAGS = 3
 #: Lines in a chunk of a large band, on average.
 CHUNK = 64
 MIN_CHARS = 16
+#: Numbers of 64 bits in the map of a set, in the wide one of a large set, and what is large.
+MAP, WIDE, LARGE = 4, 16, 400
 #: Rows of a few numbers each that a join may broadcast.
 SMALL = 500_000
 
@@ -64,11 +71,22 @@ _CUT = r"[[^\p{IsLatin}\p{IsCyrillic}\p{IsGreek}0-9 ]048cgkoswаеиоεικο]"
 _PIECE = f"(?:[^ ]{{0,{SHINGLE}}}+ |(?=[^ ]{{{SHINGLE + 1}}})(?:[^ ]{{0,{SHINGLE - 1}}}?{_CUT}|[^ ]{{{SHINGLE}}}))"
 
 
-def shingle_hashes(line: str) -> Column:
-    """Distinct 32-bit hashes, in order, of the character shingles of the normalized line in column ``line``."""
-    return F.expr(
-        f"sort_array(array_distinct(transform(regexp_extract_all(concat(' ', {line}), r'(?s){_PIECE}(?=(.{{1,{SHINGLE}}}+))', 1), x -> hash(x))))"
-    )
+def word_shingles(line: str) -> str:
+    """SQL of 32-bit hashes of the shingles at the words and cuts of the normalized ``line``."""
+    return f"transform(regexp_extract_all(concat(' ', {line}), r'(?s){_PIECE}(?=(.{{1,{SHINGLE}}}+))', 1), x -> hash(x))"
+
+
+def stretches(line: str) -> str:
+    """SQL of 32-bit hashes of every stretch of SHINGLE characters of ``line``; a shorter line is one stretch."""
+    return rf"transform(regexp_extract_all({line}, r'(?s)(?=(.{{{SHINGLE}}}|\A.{{1,{SHINGLE - 1}}}\z)).', 1), x -> hash(x))"
+
+
+Shingles = Callable[[str], str]
+
+
+def shingle_hashes(line: str, shingles: Shingles = word_shingles) -> Column:
+    """Distinct hashes, in order, of the shingles of the normalized line in column ``line``."""
+    return F.expr(f"sort_array(array_distinct({shingles(line)}))")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -85,8 +103,8 @@ def bands_of(hashes: str) -> Column:
     return F.expr(f"if(size({hashes}) <= {FEW}, array_union({threes}, {twos}), {threes})")
 
 
-def _with_sets(occurrences: DataFrame) -> DataFrame:
-    return occurrences if "s" in occurrences.columns else occurrences.withColumn("s", shingle_hashes("n"))
+def _with_bands(occurrences: DataFrame, shingles: Shingles) -> DataFrame:
+    return occurrences if "bands" in occurrences.columns else occurrences.withColumn("s", shingle_hashes("n", shingles)).withColumn("bands", bands_of("s")).drop("s", "n")
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -94,9 +112,9 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= SMALL else table
 
 
-def distinct_lines(occurrences: DataFrame) -> DataFrame:
+def distinct_lines(occurrences: DataFrame, shingles: Shingles = word_shingles) -> DataFrame:
     """``lid, check, first (doc_id, dk, pos), times, bands`` for each distinct line."""
-    rows = _with_sets(occurrences).select("lid", "check", F.struct("doc_id", "dk", "pos").alias("at"), bands_of("s").alias("bands"))
+    rows = _with_bands(occurrences, shingles).select("lid", "check", F.struct("doc_id", "dk", "pos").alias("at"), "bands")
     return rows.groupBy("lid", "check").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("times"), F.any_value("bands").alias("bands"))
 
 
@@ -129,11 +147,34 @@ def candidate_pairs(lines: DataFrame, large: DataFrame, shared: DataFrame | None
     return twos.union(pairs).distinct()
 
 
-def line_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(a, b)`` of the ``pairs`` whose shingle sets have at least the Jaccard ``similarity``."""
-    both = pairs.join(sets.select(F.col("lid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("lid").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def mapped(lines: DataFrame, shingles: Shingles = word_shingles) -> DataFrame:
+    """``lines`` (lid, n) with the size ``k`` of the set, its map ``m``, and of a LARGE set the wide map ``w``; a bit is the parity of the shingles in its class."""
+    number = "aggregate(filter(s, x -> (shiftright(x, 6) & {}) = {}), 0L, (m, x) -> m ^ shiftleft(1L, x & 63))"
+    numbers = lambda n: f"array({', '.join(number.format(n - 1, i) for i in range(n))})"
+    found = f"transform(array(array_distinct({shingles('n')})), s -> struct(size(s) as k, {numbers(MAP)} as m, if(size(s) > {LARGE}, {numbers(WIDE)}, null) as w))[0]"
+    return lines.select("lid", "n", F.expr(found).alias("f")).select("lid", "n", "f.*")
+
+
+def _may_be_alike(p: str, q: str, similarity: float) -> str:
+    """Whether the sets of ``p`` and ``q`` (prefixes of k, m, w) may have the ``similarity``, by sizes and maps."""
+    bound = f"{1 - similarity} * ({p}k + {q}k) + 1e-9"
+    differ = lambda x, n: " + ".join(f"bit_count({p}{x}[{i}] ^ {q}{x}[{i}])" for i in range(n))
+    wide = f"{p}w is null or {q}w is null or ({differ('w', WIDE)}) * {1 + similarity} <= {bound}"
+    return f"{p}k >= {similarity} * {q}k and {q}k >= {similarity} * {p}k and ({differ('m', MAP)}) * {1 + similarity} <= {bound} and ({wide})"
+
+
+def _alike(p: str, q: str, similarity: float, shingles: Shingles) -> str:
+    """Whether the sets of ``p`` and ``q`` (prefixes of n and k) have at least the Jaccard ``similarity``."""
+    common = f"size(array_intersect({shingles(p + 'n')}, {shingles(q + 'n')}))"
+    return f"{common} * {1 + similarity} >= {similarity} * ({p}k + {q}k) - 1e-9"
+
+
+def line_links(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, shingles: Shingles = word_shingles) -> DataFrame:
+    """``(a, b)`` of the ``pairs`` whose shingle sets have at least the Jaccard ``similarity``; ``sets`` is a written table as ``mapped`` gives it."""
+    side = lambda c, *names: sets.select(F.col("lid").alias(c), *[F.col(x).alias(c + x) for x in names])
+    met = pairs.join(_small(side("a", "k", "m", "w")), "a").join(_small(side("b", "k", "m", "w")), "b")
+    near = materialize(met.where(_may_be_alike("a", "b", similarity)).select("a", "b"), "line-pairs")
+    return near.join(side("a", "n", "k"), "a").join(side("b", "n", "k"), "b").where(_alike("a", "b", similarity, shingles)).select("a", "b")
 
 
 def _chunked(members: DataFrame) -> DataFrame:
@@ -146,7 +187,7 @@ def _chunked(members: DataFrame) -> DataFrame:
     return rows.select("band", "lid", "c", own.alias("own"), part.alias("chunk"))
 
 
-def component_links(lines: DataFrame, large: DataFrame, components: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def component_links(lines: DataFrame, large: DataFrame, components: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, shingles: Shingles = word_shingles) -> DataFrame:
     """Distinct ``(a, b)`` components that similar lines of a large band join."""
     known = components.select(F.col("node").alias("lid"), "component")
     members = _posted(lines).join(_small(large.select("band")), "band").join(_small(known), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
@@ -156,30 +197,26 @@ def component_links(lines: DataFrame, large: DataFrame, components: DataFrame, s
     every = W.partitionBy("band")
     numbers = rows.select("band", "own", "chunk").distinct().select("band", "own", "chunk", F.row_number().over(place).alias("k"), F.count(F.lit(1)).over(every).alias("last"))
     numbers = numbers.withColumn("begin", F.when(F.col("own").isNull(), F.col("k")).otherwise(F.max("k").over(W.partitionBy("band", "own")) + 1))
-    # One bit for each shingle, by its hash. Bits that differ are no more than the shingles that
-    # do, so pairs with too many of them are not alike, and their sets need not be compared.
-    bits = F.expr("aggregate(s, 0L, (m, x) -> m | shiftleft(1L, x & 63))")
-    packed = rows.join(sets, "lid").withColumn("m", bits).groupBy("band", "own", "chunk").agg(F.collect_list(F.struct("c", "m", "s")).alias("x"))
+    packed = rows.join(sets, "lid").groupBy("band", "own", "chunk").agg(F.collect_list(F.struct("c", "k", "m", "w", "n")).alias("x"))
     same = packed["band"].eqNullSafe(numbers["band"]) & packed["own"].eqNullSafe(numbers["own"]) & packed["chunk"].eqNullSafe(numbers["chunk"])
     placed = materialize(packed.join(numbers, same).select(packed["band"], "k", "begin", "last", "x"), "band-chunks")
     left = placed.where("begin <= last").select("band", F.explode(F.sequence("begin", "last")).alias("k"), F.col("x").alias("y"))
     met = left.join(placed.select("band", "k", "x"), ["band", "k"])
-    alike = f"""size(p.s) >= {similarity} * size(q.s) and size(q.s) >= {similarity} * size(p.s) and bit_count(p.m ^ q.m) * {1 + similarity} <= {1 - similarity} * (size(p.s) + size(q.s)) + 1e-9
-        and size(array_intersect(p.s, q.s)) * {1 + similarity} >= {similarity} * (size(p.s) + size(q.s)) - 1e-9"""
+    alike = f"{_may_be_alike('p.', 'q.', similarity)} and {_alike('p.', 'q.', similarity, shingles)}"
     links = F.expr(f"flatten(transform(x, p -> transform(filter(y, q -> p.c <> q.c and {alike}), q -> struct(least(p.c, q.c) as a, greatest(p.c, q.c) as b))))")
     return met.select(F.explode(F.array_distinct(links)).alias("l")).select("l.a", "l.b").distinct()
 
 
-def line_components(occurrences: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``(node, component)`` of every line id with a similar line."""
+def line_components(occurrences: DataFrame, lines: DataFrame, similarity: float = SIMILARITY, shingles: Shingles = word_shingles) -> DataFrame:
+    """``(node, component)`` of every line id with a similar line; ``occurrences`` has the lines ``n``."""
     shared = materialize(shared_bands(lines), "shared-bands")
     large = materialize(large_bands(lines, shared), "large-bands")
     pairs = materialize(candidate_pairs(lines, large, shared), "line-pairs")
     wanted = materialize(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct(), "compared")
-    found = _with_sets(occurrences.join(_small(wanted), "lid"))
-    sets = materialize(found.groupBy("lid").agg(F.any_value("s").alias("s")), "line-shingles")
-    first = materialize(connected_components(line_links(pairs, sets, similarity)), "line-components")
-    more = connected_components(component_links(lines, large, first, sets, similarity))
+    found = occurrences.select("lid", "n").join(_small(wanted), "lid").groupBy("lid").agg(F.any_value("n").alias("n"))
+    sets = materialize(mapped(found, shingles), "line-shingles")
+    first = materialize(connected_components(line_links(pairs, sets, similarity, shingles)), "line-components")
+    more = connected_components(component_links(lines, large, first, sets, similarity, shingles))
     more = materialize(more.select(F.col("node").alias("old"), F.col("component").alias("new")), "line-components")
     # A line that had no link before is its own old component.
     alone = more.join(first, more["old"] == first["component"], "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
@@ -187,10 +224,10 @@ def line_components(occurrences: DataFrame, lines: DataFrame, similarity: float
     return joined.select("node", F.coalesce("new", "component").alias("component")).unionByName(alone)
 
 
-def repeated_lines(occurrences: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``lid, check, keep`` for each line that stands more than once; ``keep`` is the place (doc_id, dk, pos) that stays."""
-    lines = materialize(distinct_lines(occurrences), "lines")
-    components = materialize(line_components(occurrences, lines, similarity), "line-components")
+def repeated_lines(occurrences: DataFrame, places: DataFrame, similarity: float = SIMILARITY, shingles: Shingles = word_shingles) -> DataFrame:
+    """``lid, check, keep`` for each line that stands more than once; ``keep`` is the place (doc_id, dk, pos) that stays. ``places`` are the ``occurrences`` with bands."""
+    lines = materialize(distinct_lines(places), "lines")
+    components = materialize(line_components(occurrences, lines, similarity, shingles), "line-components")
     member = F.broadcast(components) if components.count() <= SMALL else components
     placed = lines.select("lid", "check", "first", "times").join(member, F.col("lid") == F.col("node"), "left").where("component is not null or times > 1")
     placed = materialize(placed.drop("node"), "repeated-lines")
@@ -198,12 +235,12 @@ def repeated_lines(occurrences: DataFrame, similarity: float = SIMILARITY) -> Da
     return placed.join(least, "component", "left").select("lid", "check", F.coalesce("keep", "first").alias("keep"))
 
 
-def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY, shingles: Shingles = word_shingles) -> DataFrame:
     """``docs`` with the text of each document less its repeated lines; all rows and columns stay."""
     names = docs.columns
-    occurrences = materialize(_with_sets(_occurrences(docs)).drop("n"), "line-places")
-    rules = materialize(repeated_lines(occurrences, similarity), "line-rules")
-    seen = occurrences.select("doc_id", "dk", "pos", "lid", "check").join(_small(rules), ["lid", "check"])
+    places = materialize(_with_bands(_occurrences(docs), shingles), "line-places")
+    rules = materialize(repeated_lines(_occurrences(docs), places, similarity, shingles), "line-rules")
+    seen = places.select("doc_id", "dk", "pos", "lid", "check").join(_small(rules), ["lid", "check"])
     dropped = seen.where(~F.struct("doc_id", "dk", "pos").eqNullSafe(F.col("keep"))).select("doc_id", "dk", "pos").distinct()
     drops = dropped.groupBy("doc_id", "dk").agg(F.sort_array(F.collect_list("pos")).alias("drops"))
     drops = materialize(drops.select(F.col("doc_id").alias("_d_id"), F.col("dk").alias("_d_key"), "drops"), "line-drops")

@@ -26,7 +26,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return lines.dedup_lines(_table(spark, sf_dir, "documents"), shingles=lines.stretches)
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
