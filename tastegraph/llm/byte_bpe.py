@@ -11,7 +11,11 @@ the ids.
 Spark looks a key up in a map literal by going through all of its keys, so the maps are dealt
 by hash into an array of small ones. Common words, of a bounded sample of documents, are
 encoded once for all and stand in such a map too; other words are encoded where they occur.
-Which words these are decides about speed alone, never about a result.
+Which words these are decides about speed alone, never about a result. A code is one string,
+for each token a blank, its id, ID_END, its bytes and BYTES_END; a document's ids and bytes are
+what is left of the codes of its words without the other.
+
+Texts without the letters and numbers that an older JVM does not know are cut by its own classes.
 
 Nulls, blanks: a null text counts as empty; an empty text has no ids and decodes to no bytes. Rows
 that repeat are encoded each. Other columns, whatever their names, take no part. An empty table
@@ -29,11 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Documents (about) whose words are counted to choose the common ones, and how many of these are kept.
-SAMPLE_DOCS, COMMON_WORDS = 20_000, 32_768
+SAMPLE_DOCS, COMMON_WORDS = 20_000, 131_072
 #: A token longer than this many bytes is a candidate wherever its first bytes stand.
-DEPTH = 6
+DEPTH = 5
 #: Stands before ids as characters; ids stay below the surrogates.
 BASE = 256
+#: Ends of an id and of a token's bytes in a code; no byte is such a character.
+ID_END, BYTES_END = "\u0100", "\u0101"
 
 # Letters and numbers of Unicode 14 to 16, which an older JVM does not know as such.
 LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2C5F 9FFD-9FFF A7C0-A7C1 A7CB-A7CD A7D0-A7D1 A7D3 A7D5-A7DC A7F2-A7F4
@@ -45,29 +51,45 @@ LETTERS = """870-887 889-88E 8B5 8C8-8C9 C5D CDD 170D 171F 1B4C 1C89-1C8A 2C2F 2
 NUMBERS = "10D40-10D49 116D0-116E3 11BF0-11BF9 11F50-11F59 16130-16139 16AC0-16AC9 16D70-16D79 1CCF0-1CCF9 1D2C0-1D2D3 1E4F0-1E4F9 1E5F1-1E5FA".split()
 
 
-def java_pattern(pattern: str) -> str:
-    """``pattern`` with its classes of letters, numbers and white space as the JVM must name them."""
-    ranges = lambda parts: "".join("-".join(f"\\x{{{x}}}" for x in p.split("-")) for p in parts)
-    one = lambda known, parts: f"[{known}[\\x{{800}}-\\x{{3FFFF}}&&[{ranges(parts)}]]]"
+def _ranges(parts: list[str]) -> str:
+    return "".join("-".join(f"\\x{{{x}}}" for x in p.split("-")) for p in parts)
+
+
+def _among(parts: list[str]) -> str:
+    return f"[\\x{{800}}-\\x{{3FFFF}}&&[{_ranges(parts)}]]"
+
+
+def java_pattern(pattern: str, newer: bool = True) -> str:
+    """``pattern`` with its classes of letters, numbers and white space as the JVM must name them; without ``newer``, for texts that have none of NEWER."""
+    one = lambda known, parts: f"[{known}{_among(parts)}]" if newer else known
     # Alternatives of the pattern name the classes alone or in the one negated set.
-    rest = f"[\\P{{IsWhite_Space}}&&\\P{{L}}&&\\P{{N}}&&[^{ranges(LETTERS + NUMBERS)}]]"
+    rest = f"[\\P{{IsWhite_Space}}&&\\P{{L}}&&\\P{{N}}&&[^{_ranges(LETTERS + NUMBERS)}]]" if newer else "[^\\p{IsWhite_Space}\\p{L}\\p{N}]"
     parts = pattern.split("[^\\s\\p{L}\\p{N}]")
     swap = lambda s: s.replace("\\p{L}", one("\\p{L}", LETTERS)).replace("\\p{N}", one("\\p{N}", NUMBERS)).replace("\\s", "\\p{IsWhite_Space}").replace("\\S", "\\P{IsWhite_Space}")
     return rest.join(map(swap, parts))
 
 
+NEWER = _among(LETTERS + NUMBERS)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """The matches of ``pattern`` in ``text``, in order."""
+    cut = lambda newer: F.regexp_extract_all(text, F.lit(java_pattern(pattern, newer)), F.lit(0))
+    return F.when(text.rlike(NEWER), cut(True)).otherwise(cut(False))
+
+
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once."""
     return F.transform(F.array(value), body)[0]
 
 
-def _dealt(entries: dict[str, object], kind: str, fill: int = 2) -> tuple[Column, int]:
+def _dealt(entries: dict[str, str], fill: int = 2) -> tuple[Column, int]:
     """A literal array of maps and its size; a key lies in the map of its hash."""
     n = max(1, len(entries) // fill)
     maps: list[dict] = [{} for _ in range(n)]
     for key, value in entries.items():
         maps[xxhash.xxh64_intdigest(key.encode(), seed=42) % 2**63 % n][key] = value
-    return F.from_json(F.lit(json.dumps(maps)), f"array<map<string,{kind}>>"), n
+    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,string>>"), n
 
 
 def _look(maps: Column, n: int, key: Column) -> Column:
@@ -90,12 +112,12 @@ class ByteBpe:
                 at[token[:DEPTH]].append(merge)
         for head, found in at.items():
             found += [merges[head[:k]] for k in range(2, len(head) + 1) if head[:k] in merges]
-        self.merges, self.n_merges = _dealt({k: "".join(v) for k, v in at.items()}, "string")
+        self.merges, self.n_merges = _dealt({k: "".join(v) for k, v in at.items()})
         self.bytes, self.ids = ("".join(map(chr, range(256))), "".join(chr(BASE + self.ranks[bytes([b])]) for b in range(256)))
-        names = [""] * (max(self.ranks.values()) + 1)
+        codes = [""] * (max(self.ranks.values()) + 1)
         for t, r in self.ranks.items():
-            names[r] = t.decode("latin-1")
-        self.names = F.from_json(F.lit(json.dumps(names)), "array<string>")
+            codes[r] = f" {r}{ID_END}{t.decode('latin-1')}{BYTES_END}"
+        self.codes = F.from_json(F.lit(json.dumps(codes)), "array<string>")
 
     def _parts(self, token: bytes) -> list[bytes]:
         """The two tokens whose merge makes ``token``: its encoding by lower ranks alone."""
@@ -113,14 +135,9 @@ class ByteBpe:
         def candidates(b: Column) -> Column:
             at = lambda i, k: _look(merges, self.n_merges, F.substring(b, i, F.lit(k)))
 
-            def deepest(i: Column, k: int) -> Column:
-                """Merges found at the longest known head of at least ``k`` bytes; null if there is none."""
-                if k == DEPTH:
-                    return at(i, k)
-                return _let(at(i, k), lambda x: F.when(x.isNull(), at(i, 2) if k == 3 else F.lit(None)).otherwise(F.coalesce(deepest(i, k + 1), x)))
-
             def from_place(i: Column) -> Column:
-                return F.coalesce(deepest(i, 3), F.lit(""))
+                """Merges found at the longest known head."""
+                return F.coalesce(*(at(i, k) for k in range(DEPTH, 1, -1)), F.lit(""))
 
             # One byte has no pair; the sequence is then empty.
             places = F.when(F.length(b) > 1, F.sequence(F.lit(1), F.length(b) - 1)).otherwise(F.array().cast("array<int>"))
@@ -131,51 +148,39 @@ class ByteBpe:
 
         return _let(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), run)
 
-    def decimals(self, ids: Column) -> Column:
-        """Ids in decimal, joined by blanks."""
-        return F.array_join(F.transform(self.numbers(ids), lambda i: i.cast("string")), " ")
-
     @staticmethod
-    def numbers(ids: Column) -> Column:
-        """Ids as an array of whole numbers."""
-        return F.transform(F.split(ids, ""), lambda c: F.ascii(c) - BASE)
-
-    def decoded(self, ids: Column, names: Column) -> Column:
-        """The bytes of ids, each as the character of its number."""
-        return F.array_join(F.transform(F.split(ids, ""), lambda c: names[F.ascii(c) - BASE]), "")
-
-
-def _codes(bpe: ByteBpe, word: Column, merges: Column, names: Column) -> Column:
-    """``ids, piece`` of a word: decimals joined by blanks, and the decoded bytes as characters."""
-    return _let(bpe.fold(word, merges), lambda ids: F.struct(bpe.decimals(ids).alias("ids"), bpe.decoded(ids, names).alias("piece")))
+    def coded(ids: Column, codes: Column) -> Column:
+        """The codes of ids as ``fold`` gives them, in one string."""
+        return F.array_join(F.transform(F.split(ids, ""), lambda c: codes[F.ascii(c) - BASE]), "")
 
 
 def common_words(words: DataFrame, n: int = COMMON_WORDS) -> DataFrame:
     """``word`` of the ``n`` words that occur most often, of those that occur twice."""
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return counts.orderBy(F.desc("n"), "word").limit(n).select("word").repartition(48, "word")
+    return counts.orderBy(F.desc("n"), "word").limit(n).select("word").repartition(12, "word")
 
 
 def encoded(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document ``doc_id, codes array<struct<ids string, piece string>>``, a struct for each piece."""
+    """Per document ``doc_id, text, decoded``: its ids in decimal, joined by blanks, and the bytes of these ids."""
     bpe = ByteBpe(ranks)
-    cut = lambda text: F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     share = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
-    words = source.sample(share, seed=1).select(F.explode(cut(F.col("text"))).alias("word"))
-    own = lambda word: _let(bpe.merges, lambda m: _let(bpe.names, lambda names: _codes(bpe, word, m, names)))
-    ready = common_words(words).select("word", own(F.col("word")).alias("c")).select("word", "c.*").collect()
-    common, n = _dealt({r["word"]: {"ids": r["ids"], "piece": r["piece"]} for r in ready}, "struct<ids:string,piece:string>")
+    words = source.sample(share, seed=1).select(F.explode(pieces(F.col("text"), pattern)).alias("word"))
+    code = lambda word, m, codes: bpe.coded(bpe.fold(word, m), codes)
+    own = _let(bpe.merges, lambda m: _let(bpe.codes, lambda codes: code(F.col("word"), m, codes)))
+    ready = common_words(words).select("word", own.alias("c")).toArrow()
+    common, n = _dealt(dict(zip(*(x.to_pylist() for x in ready.columns))))
     # The literals are bound once for a row, each by its own name: a field of a struct would be read again at each use.
-    every = lambda known, m, names: F.transform(cut(F.col("text")), lambda w: F.coalesce(_look(known, n, w), _codes(bpe, w, m, names)))
-    codes = _let(common, lambda known: _let(bpe.merges, lambda m: _let(bpe.names, lambda names: every(known, m, names))))
-    return source.select("doc_id", codes.alias("codes"))
+    every = lambda known, m, codes: F.transform(pieces(F.col("text"), pattern), lambda w: F.coalesce(_look(known, n, w), code(w, m, codes)))
+    found = _let(common, lambda known: _let(bpe.merges, lambda m: _let(bpe.codes, lambda codes: F.array_join(every(known, m, codes), ""))))
+    ids = F.substring(F.regexp_replace("c", f"{ID_END}[^{BYTES_END}]*+{BYTES_END}", ""), 2, 2**31 - 1)
+    decoded = F.encode(F.regexp_replace("c", f" [0-9]++{ID_END}|{BYTES_END}", ""), "ISO-8859-1")
+    return source.select("doc_id", found.alias("c")).select("doc_id", ids.alias("text"), decoded.alias("decoded"))
 
 
 def code_documents(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Per document ``doc_id, n_tokens, ids_sha256, decoded_sha256``, and with ``with_ids`` also ``ids array<int>, decoded binary``."""
     coded = encoded(docs, ranks, pattern, id_col, text_col)
-    joined = coded.select("doc_id", F.array_join(F.transform("codes", lambda c: c["ids"]), " ").alias("text"), F.encode(F.array_join(F.transform("codes", lambda c: c["piece"]), ""), "ISO-8859-1").alias("decoded"))
     n = F.when(F.col("text") == "", 0).otherwise(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1)
     more = [F.when(F.col("text") == "", F.array().cast("array<int>")).otherwise(F.split("text", " ").cast("array<int>")).alias("ids"), "decoded"] if with_ids else []
-    return joined.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2(F.encode("text", "utf-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
+    return coded.select("doc_id", n.cast("long").alias("n_tokens"), F.sha2(F.encode("text", "utf-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)

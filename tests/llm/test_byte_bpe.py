@@ -73,3 +73,22 @@ def test_main_path_has_no_python(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     plan = byte_bpe.code_documents(docs, RANKS, public_tokenizers.PATTERN)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "MapInArrow", "PythonUDF"))
+
+
+def test_pieces_are_the_same_with_and_without_newer_classes(spark):
+    pattern = public_tokenizers.PATTERN
+    rows = [(t, k) for k in (0, 1) for t in (x + "\U00031350\U00010d40" * k for x in texts(400))]
+    df = spark.createDataFrame(rows, "text string, newer int")
+    cut = byte_bpe.F.regexp_extract_all("text", byte_bpe.F.lit(byte_bpe.java_pattern(pattern)), byte_bpe.F.lit(0))
+    assert df.where(byte_bpe.pieces(byte_bpe.F.col("text"), pattern) != cut).count() == 0
+    assert df.where("newer = 1").where(~byte_bpe.F.col("text").rlike(byte_bpe.NEWER)).count() == 0
+
+
+def test_common_words_are_looked_up_and_codes_stay_apart(spark, library):
+    """Texts that look like ids, blanks and ends of codes, as common words and as others."""
+    base = [" 12", "12 13", "\u0100 7\u0101", "\u0101\u0100", " \u0100", "0\u0101 9\u0100x", "\x00\x01\xff"]
+    rows = list(enumerate([*base, *base, "a" + base[1], " 12" * 500]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in byte_bpe.code_documents(docs, RANKS, public_tokenizers.PATTERN, with_ids=True).collect()}
+    assert got == {k: (library.encode_ordinary(t), t.encode()) for k, t in rows}
+    assert byte_bpe.COMMON_WORDS >= 131_072  # seven words of a hundred are then folded, not sixteen
