@@ -8,7 +8,9 @@ blanks. Such a run is cut after every character that is no Latin, Cyrillic or Gr
 digit, after some letters and digits, and after SHINGLE characters at the latest. A MinHash
 signature is the run of the smallest shingle hashes; bands are three adjacent values of that
 run, and in lines of few shingles also two, so two lines meet when they share neighbouring
-minima. Lines that meet are compared by the exact Jaccard similarity of
+minima. With ``stretches`` those that begin with a letter of FIRST count as smaller than all others,
+so where a line has enough of them, the others, none of which can be among its minima, need no hash
+there; where it has not, all are hashed. Lines that meet are compared by the exact Jaccard similarity of
 their shingle sets, links become components by distributed union-find, and one line of a
 component, the first by (doc_id, position), is kept. Exact repeats are the same line.
 
@@ -81,6 +83,15 @@ def stretches(line: str) -> str:
     return rf"transform(regexp_extract_all({line}, r'(?s)(?=(.{{{SHINGLE}}}|\A.{{1,{SHINGLE - 1}}}\z)).', 1), x -> hash(x))"
 
 
+#: Stretches that begin with one of these letters come before the others in the order of hashes.
+FIRST = "cgkosw"
+
+
+def first_stretches(line: str) -> str:
+    """SQL of the hashes of the ``stretches`` of ``line`` of full width that begin with a letter of FIRST."""
+    return rf"transform(regexp_extract_all({line}, r'(?s)[{FIRST}](?<=(?=(.{{{SHINGLE}}})).)', 1), x -> hash(x))"
+
+
 Shingles = Callable[[str], str]
 
 
@@ -103,8 +114,17 @@ def bands_of(hashes: str) -> Column:
     return F.expr(f"if(size({hashes}) <= {FEW}, array_union({threes}, {twos}), {threes})")
 
 
+def with_minima(lines: DataFrame, shingles: Shingles = word_shingles) -> DataFrame:
+    """``lines`` with the array ``s`` of the distinct hashes of ``n`` in their order, at least as many as the bands need."""
+    if shingles is not stretches:
+        return lines.withColumn("s", shingle_hashes("n", shingles))
+    first = lines.withColumn("_first", shingle_hashes("n", first_stretches))
+    enough = max(BANDS + 2, FEW + 1)
+    return first.withColumn("s", F.when(F.size("_first") >= enough, F.slice("_first", 1, enough)).otherwise(F.array_union("_first", shingle_hashes("n", stretches)))).drop("_first")
+
+
 def _with_bands(occurrences: DataFrame, shingles: Shingles) -> DataFrame:
-    return occurrences if "bands" in occurrences.columns else occurrences.withColumn("s", shingle_hashes("n", shingles)).withColumn("bands", bands_of("s")).drop("s", "n")
+    return occurrences if "bands" in occurrences.columns else with_minima(occurrences, shingles).withColumn("bands", bands_of("s")).drop("s", "n")
 
 
 def _small(table: DataFrame) -> DataFrame:

@@ -78,3 +78,18 @@ def test_maps_tell_no_alike_lines_apart(spark, size):
     pairs = spark.createDataFrame([(a, b) for a in range(len(text)) for b in range(a)], "a long, b long")
     got = {(r.a, r.b) for r in lines.line_links(pairs, lines.mapped(df, lines.stretches), shingles=lines.stretches).collect()}
     assert got == {(a, b) for a in range(len(text)) for b in range(a) if jaccard(text[a], text[b]) >= 0.8}
+
+
+def test_minima_are_those_of_all_stretches_in_their_order(spark):
+    """Against the order of all stretches, first letters before others; lines with enough, few and none of these."""
+    text = ["a" * 11, "abcdefghijkl", "tail " * 40, "o" * 300, "o" * 300 + " x", "日本語文章空白" * 9, "so\tgo \U0001f600 " * 20, *(words(2, 60) for _ in range(300))]
+    df = spark.createDataFrame([(t,) for t in text], "n string")
+    for r in lines.with_minima(df, lines.stretches).collect():
+        parts = sorted(stretches(r.n))
+        hashes = [x.h for x in spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, p string").selectExpr("i", "hash(p) h").orderBy("i").collect()] if len(r.n) < 70 else None
+        if hashes:
+            want = sorted(range(len(parts)), key=lambda i: (len(parts[i]) < 12 or parts[i][0] not in lines.FIRST, hashes[i]))
+            assert r.s[:8] == [hashes[i] for i in want][:8]
+            assert len(r.s) == len(parts) or len(r.s) >= 8
+    few = lines.with_minima(df.where("length(n) >= 300"), lines.stretches).where("size(s) > 8 and n not like 'oooo%'")
+    assert few.count() == 0  # long lines are not hashed at every position for their minima
