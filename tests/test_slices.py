@@ -68,6 +68,7 @@ def test_rounding_is_that_of_decimals(spark):
 #: Rows that a query on the smallest tables but one may shuffle; each shuffled the rows that two lists make together before.
 MOST = {
     "recommend_from_users": 1_200_000,
+    "recommend_in_progress": 500_000,
     "user_pearson": 400_000,
     "co_occurrence": 230_000,
     "tagged_recommendations": 900_000,
